@@ -17,13 +17,6 @@ def _chunk(order: Column, width: float) -> Column:
     return F.floor(order.cast("double") / F.lit(float(width))).cast("bigint")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def previous(
     df: DataFrame,
     keys: list[str],
@@ -81,3 +74,30 @@ def running_sum(
     for n in columns.values():
         out = out.withColumn(n, F.col(n) + F.col(f"_b_{n}"))
     return out.select(*df.columns, *columns.values())
+
+
+def last_known(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: dict[str, str],
+    chunk: float = CHUNK,
+) -> DataFrame:
+    """Add, per key, the last non-NULL value of each column up to and including the row (an as-of lookup)."""
+    cut = df.withColumn("_chunk", _chunk(F.col(order[0]), chunk))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    tails = cut.groupBy(*keys, "_chunk").agg(
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_t_{n}") for c, n in columns.items()]
+    )
+    before = tails.select(
+        *keys, "_chunk", *[F.last(f"_t_{n}", ignorenulls=True).over(across).alias(f"_b_{n}") for n in columns.values()]
+    )
+    rows = cut
+    for c, n in columns.items():
+        rows = rows.withColumn(n, F.last(c, ignorenulls=True).over(inside))
+    out = rows.join(before, [*keys, "_chunk"], "left")
+    for n in columns.values():
+        out = out.withColumn(n, F.coalesce(F.col(n), F.col(f"_b_{n}")))
+    return out.select(*df.columns, *columns.values())
