@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -59,6 +59,11 @@ def status_text(state: DataFrame, lang: str, texts: DataFrame | None = None) ->
     return out.withColumn("text", F.call_function("format_string", pattern, "arg1", "arg2")).drop("_t", "_d")
 
 
+def hresult_text(code) -> Column:
+    """Error code as text: 0x and the upper-case hexadecimal digits of its 32 bits."""
+    return F.concat(F.lit("0x"), F.hex(F.col(code).cast("bigint").bitwiseAND(0xFFFFFFFF)))
+
+
 def telemetry(run_log: DataFrame) -> DataFrame:
     """Per event name: how often it happened, in how many runs, and the largest count in one run."""
     per_run = run_log.groupBy("event", "run_id").agg(F.count("*").alias("n"))

@@ -264,12 +264,13 @@ def optimal_lengths(counts: DataFrame) -> DataFrame:
         out["length"] = out["symbol"].map(lengths).fillna(0).astype("int32")
         return out[out["length"] > 0]
 
+    id_type = counts.schema["image_id"].dataType.simpleString()
     slim = counts.select(
-        F.col("image_id").cast("bigint"), F.col("class").cast("int"), F.col("slot").cast("int"),
+        "image_id", F.col("class").cast("int"), F.col("slot").cast("int"),
         F.col("symbol").cast("int"), F.col("n").cast("bigint"),
     )
     return slim.groupBy("image_id", "class", "slot").applyInPandas(
-        best, "image_id bigint, class int, slot int, symbol int, length int"
+        best, f"image_id {id_type}, class int, slot int, symbol int, length int"
     )
 
 
