@@ -133,9 +133,9 @@ for _nx, _ny in ((8, 8), (4, 4), (16, 8), (3, 5)):
         return t.select("image_id", F.col("by").alias("by_"), "bx", F.posexplode_outer("values").alias("i", "f"))
 
 
-@register("idct_samples", "image_id off")
+@register("idct_samples", "image_id off", "SELECT DISTINCT image_id, 0 AS off FROM fx_sblocks")
 def _(s, d):
-    """Forward, inverse, limited: largest difference from the input per image (rows-only; tests pin it to 0)."""
+    """Forward, inverse, limited: largest difference from the input per image, which must be 0."""
     t = sa.idct(sa.fdct(spark_fx(s, d, "fx_sblocks")), source="dct").withColumn("back", dct.to_samples("values"))
     diff = F.array_max(F.zip_with("back", "s", lambda a, b: F.abs(a - b)))
     return t.groupBy("image_id").agg(F.max(diff).alias("off"))
@@ -269,24 +269,41 @@ def rgb_image(s, d):
     return t.selectExpr("image_id", "y", "x", "v AS r", "(v + x) % 256 AS g", "(v * 2 + y) % 256 AS b")
 
 
-@register("pixels_to_blocks", "image_id ci by_ bx coef:a")
-def _(s, d):
+CHROMA = "[" + ",".join(str(v) for v in __import__("framelake.functions.fixed", fromlist=["x"]).CHROMA_QUANT) + "]"
+
+
+def encoded(quality):
+    scale = 200 - 2 * quality
+    return f"""WITH img AS (SELECT image_id, y, x, v AS r, (v + x) % 256 AS g, (v*2 + y) % 256 AS b FROM fx_full WHERE y < 29 AND x < 37),
+ycc AS (SELECT image_id, y, x, {Y} AS c0, {CB} AS c1, {CR} AS c2 FROM img),
+pad AS (SELECT i.image_id, g.y, g.x, c0, c1, c2 FROM (SELECT y, x FROM (SELECT unnest(range(32)) AS y), (SELECT unnest(range(48)) AS x)) g JOIN ycc i ON i.y = least(g.y, 28) AND i.x = least(g.x, 36)),
+pl AS (SELECT image_id, 0 AS ci, y, x, c0 AS val FROM pad
+ UNION ALL SELECT image_id, 1, y // 2, x // 2, (sum(c1) + 1 + (x // 2) % 2) // 4 FROM pad GROUP BY image_id, y // 2, x // 2
+ UNION ALL SELECT image_id, 2, y // 2, x // 2, (sum(c2) + 1 + (x // 2) % 2) // 4 FROM pad GROUP BY image_id, y // 2, x // 2),
+f AS (SELECT image_id, ci, y // 8 AS by_, x // 8 AS bx, v*8 + u AS i, round(2 * sum((val - 128) * CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END * CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END
+ * cos((2*(x % 8) + 1)*u*pi()/16) * cos((2*(y % 8) + 1)*v*pi()/16))) AS c FROM pl CROSS JOIN (SELECT unnest(range(8)) AS u) CROSS JOIN (SELECT unnest(range(8)) AS v) GROUP BY image_id, ci, y // 8, x // 8, u, v),
+q AS (SELECT *, 8 * least(255, greatest(1, (CASE WHEN ci = 0 THEN {LUMA} ELSE {CHROMA} END[i+1] * {scale} + 50) // 100)) AS t FROM f),
+enc AS (SELECT image_id, ci, by_, bx, i, CAST(sign(c) * floor((abs(c) + t // 2) / t) AS BIGINT) AS c FROM q) """
+
+
+def encode(s, d, quality):
     p = rgb_image(s, d)
     sizes = p.select("image_id").distinct().withColumns({"width": F.lit(37), "height": F.lit(29)})
-    return sa.pixels_to_blocks(p, 90, sizes).withColumnRenamed("by", "by_")
+    return sa.pixels_to_blocks(p, quality, sizes)
+
+
+@register("pixels_to_blocks", "image_id ci by_ bx coef:a", encoded(90) + "SELECT image_id, ci, by_, bx, list(c ORDER BY i) AS coef FROM enc GROUP BY 1, 2, 3, 4")
+def _(s, d):
+    return encode(s, d, 90).withColumnRenamed("by", "by_")
 
 
-@register("block_zero_share", "image_id ci share:f")
+@register("block_zero_share", "image_id ci share:f", encoded(75) + "SELECT image_id, ci, avg(CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END) AS share FROM enc GROUP BY 1, 2")
 def _(s, d):
     """Share of zero coefficients after quantisation at quality 75."""
-    p = rgb_image(s, d)
-    sizes = p.select("image_id").distinct().withColumns({"width": F.lit(37), "height": F.lit(29)})
     zeros = F.size(F.filter("coef", lambda c: c == 0)) / 64.0
-    return sa.pixels_to_blocks(p, 75, sizes).groupBy("image_id", "ci").agg(F.avg(zeros).alias("share"))
+    return encode(s, d, 75).groupBy("image_id", "ci").agg(F.avg(zeros).alias("share"))
 
 
 @register("blocks_to_pixels", "image_id y x r g b")
 def _(s, d):
-    p = rgb_image(s, d)
-    sizes = p.select("image_id").distinct().withColumns({"width": F.lit(37), "height": F.lit(29)})
-    return sa.blocks_to_pixels(sa.pixels_to_blocks(p, 90, sizes), 90)
+    return sa.blocks_to_pixels(encode(s, d, 90), 90)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .exprs import ceil_div, col, idiv
+from .exprs import ceil_div, col, idiv, let
 
 
 def swaps_axes(transform) -> Column:
@@ -72,34 +72,40 @@ def trim_edges(out_w, out_h, full_w, full_h, unit_w, unit_h, x_off, y_off, trans
 CROP_FORMAT = r"\A(?:(\d+)([fF])?)?(?:[xX](\d+)([fF])?)?(?:([+-])(\d+))?(?:([+-])(\d+))?\z"
 
 
+# Fixed value: the parts of a request, set apart by a character that no valid request contains.
+CROP_PARTS = "|".join(f"${i}" for i in range(1, 9))
+
+
 def parse_crop(spec) -> Column:
-    """``<w>[f]x<h>[f]{+-}<x>{+-}<y>`` with every part optional. States: unset, pos, neg, force."""
+    """``<w>[f]x<h>[f]{+-}<x>{+-}<y>`` with every part optional. States: unset, pos, neg, force. NULL if invalid.
+
+    One match splits the request into its parts; reading group by group would match the pattern a dozen times.
+    """
     s = col(spec)
 
-    def group(i: int) -> Column:
-        return F.regexp_extract(s, CROP_FORMAT, i)
-
-    def number(i: int) -> Column:
-        # 32-bit wrap-around: a value modulo 2^32 depends on its last 32 decimal digits only.
-        digits = F.right(group(i), F.lit(32))
-        return F.when(digits != "", (digits.cast("decimal(38,0)") % F.lit(2**32).cast("decimal(38,0)")).cast("bigint"))
-
-    def extent_state(i: int) -> Column:
-        return F.when(group(i) == "", "unset").when(group(i + 1) != "", "force").otherwise("pos")
-
-    def offset_state(i: int) -> Column:
-        return F.when(group(i + 1) == "", "unset").when(group(i) == "-", "neg").otherwise("pos")
-
-    valid = s.rlike(CROP_FORMAT)
-    return F.when(
-        valid,
-        F.struct(
-            number(1).alias("w"), extent_state(1).alias("w_state"),
-            number(3).alias("h"), extent_state(3).alias("h_state"),
-            number(6).alias("x"), offset_state(5).alias("x_state"),
-            number(8).alias("y"), offset_state(7).alias("y_state"),
-        ),
-    )
+    def fields(part: Column) -> Column:
+        def number(i: int) -> Column:
+            # 32-bit wrap-around: a value modulo 2^32 depends on its last 32 decimal digits only.
+            digits = F.right(part[i], F.lit(32))
+            wrapped = (digits.cast("decimal(38,0)") % F.lit(2**32).cast("decimal(38,0)")).cast("bigint")
+            small = digits.cast("bigint")
+            return F.when(F.length(digits).between(1, 9), small).when(digits != "", wrapped)
+
+        def extent_state(i: int) -> Column:
+            return F.when(part[i] == "", "unset").when(part[i + 1] != "", "force").otherwise("pos")
+
+        def offset_state(i: int) -> Column:
+            return F.when(part[i + 1] == "", "unset").when(part[i] == "-", "neg").otherwise("pos")
+
+        return F.struct(
+            number(0).alias("w"), extent_state(0).alias("w_state"),
+            number(2).alias("h"), extent_state(2).alias("h_state"),
+            number(5).alias("x"), offset_state(4).alias("x_state"),
+            number(7).alias("y"), offset_state(6).alias("y_state"),
+        )
+
+    parts = F.split(F.regexp_replace(s, CROP_FORMAT, CROP_PARTS), "[|]")
+    return F.when(s.rlike(CROP_FORMAT), let(parts, fields))
 
 
 def resolve_crop_axis(size, unit, extent, extent_state, offset, offset_state, transform) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .exprs import col, idiv, int_array, let, starts_with, u8, u16, uint
+from .exprs import col, idiv, int_array, let, starts_with, u8, u16
 from .orders import zigzag_ranks
 
 # Byte patterns, on bytes read as Latin-1 text.
@@ -313,41 +313,55 @@ def restart_interval(payload) -> Column:
 TAG_TYPE = "array<struct<ifd:string,tag:int,type:int,count:bigint,value_offset:bigint,values:array<bigint>>>"
 
 
+def _num(text: Column, at: int, size: int, big: Column) -> Column:
+    """Unsigned integer at a byte position of a short hexadecimal text, in either byte order."""
+    straight = text.substr(2 * at + 1, 2 * size)
+    swapped = F.concat(*[text.substr(2 * (at + i) + 1, 2) for i in reversed(range(size))])
+    return F.conv(F.when(big, straight).otherwise(swapped), 16, 10).cast("bigint")
+
+
 def _entries(p: Column, at: Column, big: Column, ifd: str) -> Column:
-    """Directory entries at a payload position; entries that leave the segment end the list."""
+    """Directory entries at a payload position (a bound value); entries that leave the segment end the list.
+
+    The twelve bytes of an entry are read once, as text, and its fields are cut from that.
+    """
     size = F.length(p)
     room = F.greatest(idiv(size - at - 2, 12), F.lit(0))
 
     def entry(k: Column) -> Column:
-        e = at + 2 + k * 12
-
         def decoded(h: Column) -> Column:
+            def placed(w: Column) -> Column:
+                fits = (h["count"] > 0) & (w["at"] + w["unit"] * h["count"] <= size)
+                n = F.when(h["type"] == 5, h["count"] * 2).otherwise(h["count"])
+                step = F.least(w["unit"], F.lit(4))
+                part = lambda i: F.hex(p.substr((w["at"] + i * step + 1).cast("int"), step))
+                value = lambda t: F.when(step == 1, F.conv(t, 16, 10).cast("bigint")).when(
+                    step == 2, _num(t, 0, 2, big)
+                ).otherwise(_num(t, 0, 4, big))
+                values = F.when(
+                    fits, F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: let(part(i), value))
+                )
+                return F.struct(
+                    F.lit(ifd).alias("ifd"), h["tag"].cast("int").alias("tag"), h["type"].cast("int").alias("type"),
+                    h["count"].alias("count"), w["at"].cast("bigint").alias("value_offset"), values.alias("values"),
+                )
+
             unit = F.when(h["type"].isin(1, 7), 1).when(h["type"] == 3, 2).when(h["type"] == 4, 4).when(h["type"] == 5, 8)
-            total = unit * h["count"]
-            where = F.when(total <= 4, e + 8).otherwise(uint(p, e + 8, 4, big) + 6)
-            fits = (h["count"] > 0) & (where + total <= size)
-            n = F.when(h["type"] == 5, h["count"] * 2).otherwise(h["count"])
-            step = F.least(unit, F.lit(4))
-            values = F.when(
-                fits,
-                F.transform(
-                    F.sequence(F.lit(0).cast("bigint"), n - 1),
-                    lambda i: F.when(step == 1, u8(p, where + i))
-                    .when(step == 2, uint(p, where + i * 2, 2, big))
-                    .otherwise(uint(p, where + i * 4, 4, big)),
-                ),
-            )
-            return F.struct(
-                F.lit(ifd).alias("ifd"), h["tag"].cast("int").alias("tag"), h["type"].cast("int").alias("type"),
-                h["count"].alias("count"), where.cast("bigint").alias("value_offset"), values.alias("values"),
+            here = at + k * 12 + 10
+            where = F.when(unit * h["count"] <= 4, here).otherwise(h["value"] + 6)
+            return let(F.struct(unit.alias("unit"), where.cast("bigint").alias("at")), placed)
+
+        def fields(t: Column) -> Column:
+            head = F.struct(
+                _num(t, 0, 2, big).alias("tag"), _num(t, 2, 2, big).alias("type"),
+                _num(t, 4, 4, big).alias("count"), _num(t, 8, 4, big).alias("value"),
             )
+            return let(head, decoded)
 
-        head = F.struct(
-            uint(p, e, 2, big).alias("tag"), uint(p, e + 2, 2, big).alias("type"), uint(p, e + 4, 4, big).alias("count")
-        )
-        return let(head, decoded)
+        return let(F.hex(p.substr((at + k * 12 + 3).cast("int"), F.lit(12))), fields)
 
-    n = F.least(F.coalesce(uint(p, at, 2, big), F.lit(0)), room)
+    count = F.hex(p.substr((at + 1).cast("int"), F.lit(2)))
+    n = F.least(F.coalesce(F.when(F.length(count) == 4, _num(count, 0, 2, big)), F.lit(0)), room)
     return F.transform(_indices(n), entry).cast(TAG_TYPE)
 
 
@@ -358,20 +372,24 @@ def exif_array(payload) -> Column:
     or its byte order, mark or first offset is inconsistent.
     """
     p = col(payload)
-    big = p.substr(F.lit(7), F.lit(2)) == F.unhex(F.lit("4D4D"))
-    little = p.substr(F.lit(7), F.lit(2)) == F.unhex(F.lit("4949"))
-    first = uint(p, F.lit(10), 4, big)
-    usable = (
-        starts_with(p, EXIF_PREFIX) & (F.length(p) >= 18) & (big | little)
-        & (uint(p, F.lit(8), 2, big) == 42) & (first < 65536) & (first + 2 <= F.length(p) - 6)
-    )
 
-    def with_sub(main: Column) -> Column:
-        pointer = F.filter(main, lambda t: (t["tag"] == fixed.TAG_EXIF_IFD) & (F.get(t["values"], F.lit(0)) < 65536))
-        sub = let(F.get(F.get(pointer, F.lit(0))["values"], F.lit(0)) + 6, lambda at: _entries(p, at, big, "exif"))
-        return F.when(F.size(pointer) > 0, F.concat(main, sub)).otherwise(main)
+    def walk(start: Column) -> Column:
+        big = start["big"]
+
+        def with_sub(main: Column) -> Column:
+            pointer = F.filter(main, lambda t: (t["tag"] == fixed.TAG_EXIF_IFD) & (F.get(t["values"], F.lit(0)) < 65536))
+            at = F.get(F.get(pointer, F.lit(0))["values"], F.lit(0)) + 6
+            sub = let(at, lambda a: F.when(a.isNotNull(), _entries(p, a, big, "exif")))
+            return F.concat(main, F.coalesce(sub, F.array().cast(TAG_TYPE)))
+
+        return let(_entries(p, start["first"] + 6, big, "ifd0"), with_sub)
 
-    return F.when(usable, let(_entries(p, first + 6, big, "ifd0"), with_sub))
+    order = F.hex(p.substr(F.lit(7), F.lit(8)))
+    big = order.substr(1, 4) == "4D4D"
+    known = starts_with(p, EXIF_PREFIX) & (F.length(p) >= 18) & (big | (order.substr(1, 4) == "4949"))
+    start = F.struct(big.alias("big"), _num(order, 2, 2, big).alias("mark"), _num(order, 4, 4, big).alias("first"))
+    usable = lambda x: (x["mark"] == 42) & (x["first"] < 65536) & (x["first"] + 8 <= F.length(p))
+    return F.when(known, let(start, lambda x: F.when(usable(x), walk(x))))
 
 
 def exif_big_endian(payload) -> Column:

@@ -15,10 +15,10 @@ ISSUE_COLUMNS = ["image_id", "issue", "severity"]
 
 
 def _rows(df: DataFrame, conditions: dict[str, Column], severity: str) -> DataFrame:
-    """One row per condition that holds."""
+    """One row per input row and condition that holds."""
     hits = F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()])
     listed = df.select("image_id", F.explode_outer(hits).alias("issue")).filter("issue IS NOT NULL")
-    return listed.withColumn("severity", F.lit(severity)).distinct()
+    return listed.withColumn("severity", F.lit(severity))
 
 
 def frame_issues(frames: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def frame_issues(frames: DataFrame) -> DataFrame:
             "bad_frame_length": F.col("length") != F.col("ncomp") * 3 + 8,
         },
         "error",
-    )
+    ).distinct()  # an image may have several frame headers
 
 
 def structure_issues(segs: DataFrame) -> DataFrame:

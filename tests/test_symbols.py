@@ -41,7 +41,8 @@ def test_limit_is_16_bits():
         counts.append(counts[-1] + counts[-2])
     lengths = sy._code_lengths(list(range(30)), counts)
     assert max(lengths.values()) == 16 and sum(2.0 ** -n for n in lengths.values()) < 1
-    assert [lengths[i] for i in range(30)] == sorted(lengths.values(), reverse=True)
+    # Rarer symbols never get shorter codes; 0 and 1 have equal counts, so either may be the longer one.
+    assert lengths[0] <= lengths[1] and all(lengths[i] >= lengths[i + 1] for i in range(1, 29))
 
 
 def test_equal_counts_prefer_small_symbols():
