@@ -180,25 +180,20 @@ def _(s, d):
     return sa.downsample_h2v2(samp(s, d))
 
 
-# Planes of 40 x 32; an image with fewer blocks is left out so that every neighbour exists.
-_FULL = "SELECT s.* FROM fx_samples s JOIN (SELECT image_id FROM fx_samples GROUP BY image_id HAVING count(*) = 1280) k ON k.image_id = s.image_id"
-SPLIT["fx_full"] = (_FULL, _FULL)
-
-
 @register("smooth_full", "image_id y x v", """
-WITH w AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)), o AS (SELECT DISTINCT y, x FROM fx_full)
+WITH w AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)), o AS (SELECT DISTINCT y, x FROM fx_samples)
 SELECT image_id, o.y, o.x, (sum(v * CASE WHEN dx = 0 AND dy = 0 THEN 65536 - 512*30 ELSE 64*30 END) + 32768) // 65536 AS v
-FROM o CROSS JOIN w JOIN fx_full s ON s.y = least(31, greatest(0, o.y + dy)) AND s.x = least(39, greatest(0, o.x + dx)) GROUP BY 1, 2, 3""")
+FROM o CROSS JOIN w JOIN fx_samples s ON s.y = least(31, greatest(0, o.y + dy)) AND s.x = least(39, greatest(0, o.x + dx)) GROUP BY 1, 2, 3""")
 def _(s, d):
-    return sa.smooth_downsample(spark_fx(s, d, "fx_full"), 30, False, 40, 32)
+    return sa.smooth_downsample(spark_fx(s, d, "fx_samples"), 30, False, 40, 32)
 
 
 @register("smooth_halve", "image_id y x v", """
-WITH w AS (SELECT * FROM (SELECT unnest(range(-1, 3)) AS dy), (SELECT unnest(range(-1, 3)) AS dx)), o AS (SELECT DISTINCT y // 2 AS y, x // 2 AS x FROM fx_full)
+WITH w AS (SELECT * FROM (SELECT unnest(range(-1, 3)) AS dy), (SELECT unnest(range(-1, 3)) AS dx)), o AS (SELECT DISTINCT y // 2 AS y, x // 2 AS x FROM fx_samples)
 SELECT image_id, o.y, o.x, (sum(v * CASE WHEN dx IN (0, 1) AND dy IN (0, 1) THEN 16384 - 80*50 WHEN dx IN (0, 1) OR dy IN (0, 1) THEN 2*16*50 ELSE 16*50 END) + 32768) // 65536 AS v
-FROM o CROSS JOIN w JOIN fx_full s ON s.y = least(31, greatest(0, 2*o.y + dy)) AND s.x = least(39, greatest(0, 2*o.x + dx)) GROUP BY 1, 2, 3""")
+FROM o CROSS JOIN w JOIN fx_samples s ON s.y = least(31, greatest(0, 2*o.y + dy)) AND s.x = least(39, greatest(0, 2*o.x + dx)) GROUP BY 1, 2, 3""")
 def _(s, d):
-    return sa.smooth_downsample(spark_fx(s, d, "fx_full"), 50, True, 40, 32)
+    return sa.smooth_downsample(spark_fx(s, d, "fx_samples"), 50, True, 40, 32)
 
 
 @register("upsample", "image_id y x v", "SELECT image_id, y*2 + a AS y, x*3 + b AS x, v FROM fx_samples, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(3)) AS b)")
@@ -209,7 +204,7 @@ def _(s, d):
 # Luma and two half-size chroma planes out of the same samples.
 def subsampled(s, d):
     t = samp(s, d)
-    small = t.filter("y < 16 AND x < 20")
+    small = sa.downsample(t, 2, 2)
     return t.unionByName(small.withColumn("ci", F.lit(1))).unionByName(small.withColumns({"ci": F.lit(2), "v": 255 - F.col("v")}))
 
 
@@ -217,7 +212,8 @@ _UR, _UG, _UB = rgb(1, "y_", "cb_", "cr_")
 
 
 @register("upsample_to_rgb", "image_id y x r g b", f"""
-WITH j AS (SELECT a.image_id, a.y, a.x, a.v AS y_, c.v AS cb_, 255 - c.v AS cr_ FROM fx_samples a JOIN fx_samples c ON c.image_id = a.image_id AND c.y = a.y // 2 AND c.x = a.x // 2)
+WITH half AS (SELECT image_id, y // 2 AS y, x // 2 AS x, (sum(v) + 2) // 4 AS v FROM fx_samples GROUP BY 1, 2, 3),
+j AS (SELECT a.image_id, a.y, a.x, a.v AS y_, c.v AS cb_, 255 - c.v AS cr_ FROM fx_samples a JOIN half c ON c.image_id = a.image_id AND c.y = a.y // 2 AND c.x = a.x // 2)
 SELECT image_id, y, x, {_UR} AS r, {_UG} AS g, {_UB} AS b FROM j""")
 def _(s, d):
     return sa.upsample_to_rgb(subsampled(s, d))
@@ -265,8 +261,7 @@ def _(s, d):
 
 
 def rgb_image(s, d):
-    t = spark_fx(s, d, "fx_full").filter("y < 29 AND x < 37")
-    return t.selectExpr("image_id", "y", "x", "v AS r", "(v + x) % 256 AS g", "(v * 2 + y) % 256 AS b")
+    return samp(s, d).selectExpr("image_id", "y", "x", "v AS r", "(v + x) % 256 AS g", "(v * 2 + y) % 256 AS b")
 
 
 CHROMA = "[" + ",".join(str(v) for v in __import__("framelake.functions.fixed", fromlist=["x"]).CHROMA_QUANT) + "]"
@@ -274,7 +269,7 @@ CHROMA = "[" + ",".join(str(v) for v in __import__("framelake.functions.fixed",
 
 def encoded(quality):
     scale = 200 - 2 * quality
-    return f"""WITH img AS (SELECT image_id, y, x, v AS r, (v + x) % 256 AS g, (v*2 + y) % 256 AS b FROM fx_full WHERE y < 29 AND x < 37),
+    return f"""WITH img AS (SELECT image_id, y, x, v AS r, (v + x) % 256 AS g, (v*2 + y) % 256 AS b FROM fx_samples),
 ycc AS (SELECT image_id, y, x, {Y} AS c0, {CB} AS c1, {CR} AS c2 FROM img),
 pad AS (SELECT i.image_id, g.y, g.x, c0, c1, c2 FROM (SELECT y, x FROM (SELECT unnest(range(32)) AS y), (SELECT unnest(range(48)) AS x)) g JOIN ycc i ON i.y = least(g.y, 28) AND i.x = least(g.x, 36)),
 pl AS (SELECT image_id, 0 AS ci, y, x, c0 AS val FROM pad

@@ -37,10 +37,10 @@ def _(s, d):
     return run(s, live.stream_status(log_stream(s, d)), "status", True)
 
 
-@register("stream_ticks", "hour run_id selected analysed to_be_rotated rotated errored", COUNTS.replace("SELECT run_id,", "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 AS hour, run_id,").replace("GROUP BY run_id", "GROUP BY 1, 2"))
+@register("stream_ticks", "hour:s run_id selected analysed to_be_rotated rotated errored", COUNTS.replace("SELECT run_id,", "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, run_id,").replace("GROUP BY run_id", "GROUP BY 1, 2"))
 def _(s, d):
     t = run(s, live.stream_ticks(log_stream(s, d)), "ticks", True)
-    return t.withColumn("hour", F.floor(F.unix_seconds("tick") / 3600))
+    return t.withColumn("hour", F.date_format("tick", "yyyy-MM-dd HH"))
 
 
 @register("stream_plans", "image_id orientation transform:s out_w out_h refusal:s", PLAN + """

@@ -34,12 +34,11 @@ def _(s, d):
 
 
 @register("pad_mcu", "image_id by_ bx dc dummy:b", """
-WITH ids AS (SELECT DISTINCT image_id FROM fx_blocks WHERE by_ = 3 AND bx = 4), b AS (SELECT image_id, by_, bx, coef[1] AS dc FROM fx_blocks SEMI JOIN ids USING (image_id)),
+WITH ids AS (SELECT DISTINCT image_id FROM fx_blocks), b AS (SELECT image_id, by_, bx, coef[1] AS dc FROM fx_blocks),
 grid AS (SELECT image_id, y, x, least(y, 3) AS sy, CASE WHEN y <= 3 THEN least(x, 4) WHEN x >= 3 THEN 4 ELSE 2 END AS sx FROM ids, (SELECT unnest(range(6)) AS y), (SELECT unnest(range(6)) AS x))
 SELECT g.image_id, y AS by_, x AS bx, dc, y > 3 OR x > 4 AS dummy FROM grid g JOIN b ON b.image_id = g.image_id AND b.by_ = g.sy AND b.bx = g.sx""")
 def _(s, d):
-    whole = spark_fx(s, d, "fx_blocks").groupBy("image_id").agg(F.count("*").alias("n")).filter("n = 20")
-    t = spark_fx(s, d, "fx_blocks").join(whole, "image_id", "left_semi").withColumns({"h": F.lit(3), "v": F.lit(3), "blocks_w": F.lit(5), "blocks_h": F.lit(4)})
+    t = spark_fx(s, d, "fx_blocks").withColumns({"h": F.lit(3), "v": F.lit(3), "blocks_w": F.lit(5), "blocks_h": F.lit(4)})
     return sy.pad_mcu(t).withColumns({"dc": F.col("coef")[0], "by_": F.col("by")})
 
 

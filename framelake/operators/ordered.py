@@ -30,24 +30,17 @@ def previous(
     chunks. Keys must not be NULL.
     """
     cut = df.withColumn("_chunk", _chunk(F.col(order[0]), chunk))
-    packed = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
+    # A single order column keeps the carried values flat, so that numbers aggregate by hash and not by sort.
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_chunk")
-    tails = (
-        cut.groupBy(*keys, "_chunk")
-        .agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-        .withColumn("_carry", F.lag("_tail").over(across))
-        .drop("_tail")
-    )
-    rows = cut.withColumn("_prev", F.lag(packed).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
-    joined = rows.join(tails, [*keys, "_chunk"], "left")
-    source = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
-    out = joined.withColumn("_src", source)
-    for name in columns.values():
-        out = out.withColumn(name, F.col("_src")[name])
-    return out.select(*df.columns, *columns.values())
+    tails = cut.groupBy(*keys, "_chunk").agg(*[F.max_by(F.col(c), at).alias(f"_t_{n}") for c, n in columns.items()])
+    carried = tails.select(*keys, "_chunk", *[F.lag(f"_t_{n}").over(across).alias(f"_c_{n}") for n in columns.values()])
+    rows = cut.withColumns({f"_p_{n}": F.lag(c).over(inside) for c, n in columns.items()})
+    rows = rows.withColumn("_first", F.row_number().over(inside) == 1)
+    out = rows.join(carried, [*keys, "_chunk"], "left")
+    before = {n: F.when(F.col("_first"), F.col(f"_c_{n}")).otherwise(F.col(f"_p_{n}")) for n in columns.values()}
+    return out.withColumns(before).select(*df.columns, *columns.values())
 
 
 def running_sum(

@@ -253,14 +253,14 @@ def _code_lengths(symbols: list[int], counts: list[int]) -> dict[int, int]:
 
 
 def optimal_lengths(counts: DataFrame) -> DataFrame:
-    """Best code lengths per image and table from symbol counts.
+    """Best code lengths per image and table from symbol counts, which stay on the rows.
 
     The groups are aggregated counts, at most 256 rows each whatever the size of the image, so they can go to pandas.
     """
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         lengths = _code_lengths(group["symbol"].tolist(), group["n"].tolist())
-        out = group[["image_id", "class", "slot", "symbol"]].copy()
+        out = group.copy()
         out["length"] = out["symbol"].map(lengths).fillna(0).astype("int32")
         return out[out["length"] > 0]
 
@@ -270,7 +270,7 @@ def optimal_lengths(counts: DataFrame) -> DataFrame:
         F.col("symbol").cast("int"), F.col("n").cast("bigint"),
     )
     return slim.groupBy("image_id", "class", "slot").applyInPandas(
-        best, f"image_id {id_type}, class int, slot int, symbol int, length int"
+        best, f"image_id {id_type}, class int, slot int, symbol int, n bigint, length int"
     )
 
 
@@ -324,7 +324,13 @@ def encoding_report(blocks: DataFrame, comps: DataFrame, chunk: float = 65536) -
     steps end in partial counts; what is joined afterwards is at most a few hundred rows per image.
     """
     counts = dc_symbol_counts(dc_diff(blocks, chunk=chunk), comps).unionByName(ac_symbol_counts(blocks, comps))
-    spark = blocks.sparkSession
-    standard = coded_size(counts, standard_lengths(spark)).withColumnRenamed("bits", "standard_bits")
-    best = coded_size(counts, optimal_lengths(counts)).withColumnRenamed("bits", "optimal_bits").drop("uncodable")
-    return standard.join(best, "image_id").withColumn("saved_bits", F.col("standard_bits") - F.col("optimal_bits"))
+    # The counts flow once through both sets of lengths; sizing them apart would compute them again.
+    best = optimal_lengths(counts).withColumnRenamed("length", "_best")
+    both = best.join(F.broadcast(standard_lengths(blocks.sparkSession)), ["class", "slot", "symbol"], "left")
+    extra = extra_bits("symbol")
+    sized = both.groupBy("image_id").agg(
+        F.coalesce(F.sum(F.col("n") * (F.col("length") + extra)), F.lit(0)).alias("standard_bits"),
+        F.sum(F.col("n") * (F.col("_best") + extra)).alias("optimal_bits"),
+        F.coalesce(F.sum(F.when(F.col("length").isNull(), F.col("n"))), F.lit(0)).alias("uncodable"),
+    )
+    return sized.withColumn("saved_bits", F.col("standard_bits") - F.col("optimal_bits"))

@@ -91,5 +91,9 @@ def test_sizes_add_up(spark):
     from checks.symbols import positioned, tables
     from tests.conftest import SF
 
-    report = sy.encoding_report(positioned(spark, SF), tables(spark, SF)).collect()
+    blocks, comps = positioned(spark, SF), tables(spark, SF)
+    report = sy.encoding_report(blocks, comps).collect()
+    counts = sy.dc_symbol_counts(sy.dc_diff(blocks), comps).unionByName(sy.ac_symbol_counts(blocks, comps))
+    apart = {r.image_id: r.bits for r in sy.coded_size(counts, sy.optimal_lengths(counts).drop("n")).collect()}
+    assert {r.image_id: r.optimal_bits for r in report} == apart
     assert report and all(r.saved_bits >= 0 and r.uncodable == 0 for r in report)
