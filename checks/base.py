@@ -15,12 +15,6 @@ SELECT CAST(p_partkey AS BIGINT) AS image_id, CAST(64 + (p_partkey*37) % 200 AS
  CAST((p_partkey*3 + p_size) % 10 AS INT) AS xmp_orientation, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 3 END AS ncomp,
  CAST(1 + p_partkey % 2 AS INT) AS h0, CAST(1 + CAST(floor(p_partkey / 2.0) AS BIGINT) % 2 AS INT) AS v0,
  p_partkey % 17 = 0 AS read_only, p_size % 2 = 0 AS trim_ok, CAST(p_size AS INT) AS p_size FROM {part}""",
-    "fx_components": """
-SELECT CAST(p_partkey AS BIGINT) AS image_id, c.ci AS ci,
- CASE WHEN c.ci = 0 THEN CAST(1 + p_partkey % 2 AS INT) ELSE 1 END AS h,
- CASE WHEN c.ci = 0 THEN CAST(1 + CAST(floor(p_partkey / 2.0) AS BIGINT) % 2 AS INT) ELSE 1 END AS v,
- CASE WHEN c.ci = 0 THEN 0 ELSE 1 END AS tq FROM {part}
- JOIN (SELECT 0 AS ci UNION ALL SELECT 1 UNION ALL SELECT 2) c ON (c.ci = 0 OR p_partkey % 5 <> 0)""",
     "fx_pixels": """
 SELECT CAST(l_orderkey AS BIGINT) AS image_id, CAST(l_linenumber AS INT) AS x, CAST((l_partkey*7) % 256 AS INT) AS r,
  CAST((l_suppkey*29) % 256 AS INT) AS g, CAST((CAST(l_quantity AS BIGINT)*5) % 256 AS INT) AS b,
@@ -57,6 +51,13 @@ SELECT CAST(o_custkey AS BIGINT) AS image_id, CAST(o_orderkey AS BIGINT) AS seq,
  CAST(1 + o_orderkey % 60 AS INT) AS qv FROM {orders} WHERE o_orderkey % 2 = 0""",
 }
 
+def both(text: str) -> tuple[str, str]:
+    """Text for Spark and for DuckDB: ARR(..) is an array, EXPL[..] one row per value."""
+    spark = re.sub(r"EXPL\[([^]]*)\]", r"explode(array(\1))", text)
+    duck_text = re.sub(r"EXPL\[([^]]*)\]", r"unnest([\1])", text)
+    return spark.replace("ARR(", "array("), duck_text.replace("ARR(", "list_value(")
+
+
 # Derived inputs over arrays differ only in the lambda syntax: (shared head, Spark, DuckDB).
 _VEC = "SELECT CAST(floor(vec_id/20.0) AS BIGINT) AS image_id, CAST(floor((vec_id % 20)/5.0) AS INT) AS by_, CAST(vec_id % 5 AS INT) AS bx, "
 _MVEC = """SELECT CAST(floor(vec_id/24.0) AS BIGINT) AS image_id,
@@ -71,6 +72,11 @@ _SPARSE_D = "list_transform(embedding, lambda e: CAST(trunc(CAST(e AS DOUBLE)*12
 _SAMP_S = "transform(embedding, e -> CAST(least(255, greatest(0, floor(CAST(e AS DOUBLE)*256 + 128.5))) AS INT)) AS s FROM {embeddings}"
 _SAMP_D = "list_transform(embedding, lambda e: CAST(least(255, greatest(0, floor(CAST(e AS DOUBLE)*256 + 128.5))) AS INT)) AS s FROM {embeddings}"
 SPLIT = {
+    "fx_components": both("""
+SELECT CAST(p_partkey AS BIGINT) AS image_id, ci, CASE WHEN ci = 0 THEN CAST(1 + p_partkey % 2 AS INT) ELSE 1 END AS h,
+ CASE WHEN ci = 0 THEN CAST(1 + CAST(floor(p_partkey / 2.0) AS BIGINT) % 2 AS INT) ELSE 1 END AS v,
+ CASE WHEN ci = 0 THEN 0 ELSE 1 END AS tq FROM (SELECT p_partkey, EXPL[0, 1, 2] AS ci FROM {part}) c
+ WHERE ci = 0 OR p_partkey % 5 <> 0"""),
     "fx_blocks": (_VEC + "0 AS ci, 1 AS h, 1 AS v, " + _COEF_S, _VEC + "0 AS ci, 1 AS h, 1 AS v, " + _COEF_D),
     "fx_mblocks": (_MVEC + _COEF_S, _MVEC + _COEF_D),
     "fx_sparse": (_VEC + "0 AS ci, 1 AS h, 1 AS v, " + _SPARSE_S, _VEC + "0 AS ci, 1 AS h, 1 AS v, " + _SPARSE_D),

@@ -7,11 +7,11 @@ from framelake.functions import orientation as o
 from framelake.operators import catalog as c
 from framelake.operators import metadata as m
 
-from .base import SPLIT, register, spark_fx, table
+from .base import SPLIT, both, register, spark_fx, table
 
-_TAGS = """SELECT i.image_id, CASE WHEN t.tag = 274 THEN 'ifd0' ELSE 'exif' END AS ifd, t.tag AS tag,
- CASE WHEN t.tag IN (41486, 41487) THEN 5 ELSE 3 END AS type, CAST(1 AS BIGINT) AS count,
- CASE t.tag WHEN 274 THEN ARR(CAST(i.exif_orientation AS BIGINT))
+_TAGS = """SELECT i.image_id, CASE WHEN i.tag = 274 THEN 'ifd0' ELSE 'exif' END AS ifd, i.tag AS tag,
+ CASE WHEN i.tag IN (41486, 41487) THEN 5 ELSE 3 END AS type, CAST(1 AS BIGINT) AS count,
+ CASE i.tag WHEN 274 THEN ARR(CAST(i.exif_orientation AS BIGINT))
   WHEN 37396 THEN CASE WHEN i.image_id % 3 = 0 THEN ARR(i.image_id % 50, i.image_id % 40)
     WHEN i.image_id % 3 = 1 THEN ARR(i.image_id % 50, i.image_id % 40, CAST(9 AS BIGINT))
     ELSE ARR(i.image_id % 50, i.image_id % 40, CAST(7 AS BIGINT), CAST(3 AS BIGINT)) END
@@ -19,13 +19,9 @@ _TAGS = """SELECT i.image_id, CASE WHEN t.tag = 274 THEN 'ifd0' ELSE 'exif' END
   WHEN 41486 THEN ARR(CAST(i.p_size AS BIGINT), CAST(1 AS BIGINT))
   WHEN 41487 THEN ARR(CAST(i.p_size + 100 AS BIGINT), CAST(3 AS BIGINT))
   WHEN 40962 THEN ARR(CAST(i.width AS BIGINT)) ELSE ARR(CAST(i.height AS BIGINT)) END AS vals
-FROM fx_images i JOIN (SELECT 274 AS tag UNION ALL SELECT 37396 UNION ALL SELECT 41492 UNION ALL SELECT 41486
- UNION ALL SELECT 41487 UNION ALL SELECT 40962 UNION ALL SELECT 40963) t
- ON (t.tag IN (274, 40962, 40963) OR i.image_id % 2 = 0) AND (t.tag <> 41487 OR i.image_id % 4 = 0)"""
-SPLIT["fx_tags"] = (
-    _TAGS.replace("ARR(", "array("),
-    _TAGS.replace("ARR(", "list_value("),
-)
+FROM (SELECT *, EXPL[274, 37396, 41492, 41486, 41487, 40962, 40963] AS tag FROM fx_images) i
+ WHERE (tag IN (274, 40962, 40963) OR image_id % 2 = 0) AND (tag <> 41487 OR image_id % 4 = 0)"""
+SPLIT["fx_tags"] = both(_TAGS)
 
 
 def images(spark, d):
@@ -142,7 +138,7 @@ META = """SELECT image_id, width, height, h0, exif_orientation, xmp_orientation,
  CASE WHEN image_id % 4 = 0 THEN ARR(image_id % 60, image_id % 45) END AS loc,
  CASE WHEN image_id % 6 < 2 THEN ARR(image_id % 70, 1) END AS fx, CASE WHEN image_id % 6 = 1 THEN ARR(image_id % 80, 2) END AS fy,
  image_id % 7 = 0 AS thumb FROM fx_images"""
-SPLIT["fx_meta"] = (META.replace("ARR(", "array("), META.replace("ARR(", "list_value("))
+SPLIT["fx_meta"] = both(META)
 # Where a point goes, by orientation, written out (w, h: rotated size).
 POINT_X = "CASE o WHEN 2 THEN w-x WHEN 3 THEN w-x WHEN 5 THEN y WHEN 6 THEN w-y WHEN 7 THEN w-y WHEN 8 THEN y ELSE x END"
 POINT_Y = "CASE o WHEN 3 THEN h-y WHEN 4 THEN h-y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN h-x WHEN 8 THEN h-x ELSE y END"

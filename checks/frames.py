@@ -7,7 +7,7 @@ from framelake.operators import audit as au
 from framelake.operators import frames as fr
 from framelake.operators import scans as sc
 
-from .base import SPLIT, register, spark_fx, table
+from .base import SPLIT, both, register, spark_fx, table
 
 _PSCANS = """SELECT CAST(o_custkey AS BIGINT) AS image_id, CAST(o_orderkey AS BIGINT) AS seq,
  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS scan_no,
@@ -16,11 +16,10 @@ _PSCANS = """SELECT CAST(o_custkey AS BIGINT) AS image_id, CAST(o_orderkey AS BI
  CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 5 ELSE 63 END AS se,
  CAST(o_orderkey % 3 AS INT) AS ah,
  CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE CAST(o_orderkey % 3 AS INT) - 1 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END END AS al FROM {orders}"""
-SPLIT["fx_pscans"] = (_PSCANS.replace("ARR(", "array("), _PSCANS.replace("ARR(", "list_value("))
+SPLIT["fx_pscans"] = both(_PSCANS)
 _COMPS3 = "SELECT DISTINCT image_id, ci, ci AS tq, ci % 2 + 1 AS h, ci % 3 + 1 AS v FROM fx_scans"
 SPLIT["fx_comps3"] = (_COMPS3, _COMPS3)
-_COMPS9 = "SELECT DISTINCT i.image_id, c.ci, c.ci AS tq FROM fx_pscans i JOIN (SELECT 0 AS ci UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) c ON TRUE"
-SPLIT["fx_comps9"] = (_COMPS9, _COMPS9)
+SPLIT["fx_comps9"] = both("SELECT image_id, ci, ci AS tq FROM (SELECT image_id, EXPL[0, 1, 2, 3] AS ci FROM (SELECT DISTINCT image_id FROM fx_pscans) i) c")
 
 
 def frames(s, d):

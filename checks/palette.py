@@ -11,7 +11,7 @@ HIST = "hist AS (SELECT 0 AS image_id, r // 8 AS c0, g // 4 AS c1, b // 8 AS c2,
 
 
 def corpus(s, d):
-    return spark_fx(s, d, "fx_pixels").withColumn("image_id", F.lit(0).cast("bigint"))
+    return spark_fx(s, d, "fx_pixels").withColumn("image_id", F.pmod(F.xxhash64("image_id"), F.lit(1)))
 
 
 @register("color_histogram", "image_id c0 c1 c2 n", "SELECT image_id, r // 8 AS c0, g // 4 AS c1, b // 8 AS c2, count(*) AS n FROM fx_pixels GROUP BY 1, 2, 3, 4")
@@ -58,7 +58,7 @@ PAL = "pal AS (SELECT n_nationkey AS idx, n_nationkey * 53 % 256 AS r, n_nationk
 
 
 def supplied(s, d):
-    return table(s, d, "nation").selectExpr("0L AS image_id", "n_nationkey AS idx", "n_nationkey * 53 % 256 AS r", "n_nationkey % 20 * 31 % 256 AS g", "n_regionkey * 60 AS b")
+    return table(s, d, "nation").selectExpr("pmod(CAST(n_nationkey AS BIGINT), 1L) AS image_id", "n_nationkey AS idx", "n_nationkey * 53 % 256 AS r", "n_nationkey % 20 * 31 % 256 AS g", "n_regionkey * 60 AS b")
 
 
 @register("map_to_palette", "x r g b idx", f"""WITH {PAL}, {HIST},

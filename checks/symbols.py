@@ -168,3 +168,21 @@ def _(s, d):
 @register("encoding_report", "image_id standard_bits optimal_bits saved_bits uncodable")
 def _(s, d):
     return sy.encoding_report(positioned(s, d), tables(s, d))
+
+
+def first_pass(i, ss, se, al, cis):
+    """Number of symbols of one first AC pass per component, as a chain of CTEs."""
+    return f"""z{i} AS (SELECT image_id, ci, by_ * CASE WHEN ci = 0 THEN 4 ELSE 2 END + bx AS pos, list_transform({ZZ}[{ss + 1}:{se + 1}], lambda p: CAST(trunc(coef[p] / {2 ** al}.0) AS INT)) AS c FROM fx_mblocks WHERE ci IN ({cis})),
+m{i} AS (SELECT *, list_bool_or(list_transform(c, lambda x: x <> 0)) AS hit, c[len(c)] = 0 AS tail FROM z{i}),
+k{i} AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, ci ORDER BY pos) AS island FROM m{i}),
+x{i} AS (SELECT image_id, ci, pos, p, p - coalesce(lag(p) OVER (PARTITION BY image_id, ci, pos ORDER BY p), 0) - 1 AS run FROM (SELECT image_id, ci, pos, unnest(range(1, {se - ss + 2})) AS p, unnest(c) AS v FROM z{i}) WHERE v <> 0),
+s{i} AS (SELECT image_id, ci, sum(n) AS n FROM (SELECT image_id, ci, count(*) + sum(run // 16) AS n FROM x{i} GROUP BY 1, 2
+ UNION ALL SELECT image_id, ci, count(*) FROM (SELECT image_id, ci, island FROM k{i} WHERE tail GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1, 2)"""
+
+
+@register("pass_counts", "image_id ci sequential progressive", f"""WITH {ac_counts('fx_mblocks', 'ci')}, {first_pass(1, 1, 5, 2, '0')}, {first_pass(2, 1, 63, 1, '1, 2')}, {first_pass(3, 6, 63, 2, '0')},
+st AS (SELECT image_id, ci, sum(n) AS progressive FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) GROUP BY 1, 2)
+SELECT a.image_id, a.slot AS ci, sum(a.n) AS sequential, any_value(progressive) AS progressive FROM ac a LEFT JOIN st ON st.image_id = a.image_id AND st.ci = a.slot GROUP BY 1, 2""")
+def _(s, d):
+    t = spark_fx(s, d, "fx_mblocks").withColumn("mcus_per_row", F.when(F.col("ci") == 0, 4).otherwise(2))
+    return sy.pass_counts(sy.scan_position(t, interleaved=False), chunk=3)

@@ -22,12 +22,12 @@ def attach(rows: DataFrame, side: DataFrame, band: Column, keys: list[str] | Non
     """Join a table of one row per key to many rows per key without piling a large image onto one task.
 
     The side is repeated once per band that occurs in the rows (a distinct over two narrow columns), and the join key
-    includes the band.
+    includes the band. Rows without a match are kept, with NULLs.
     """
     keys = keys or PLANE
     banded = rows.withColumn("_band", band)
     bands = banded.select(*keys, "_band").distinct()
-    return banded.join(side.join(bands, keys), [*keys, "_band"]).drop("_band")
+    return banded.join(side.join(bands, keys), [*keys, "_band"], "left").drop("_band")
 
 
 # --- blocks <-> samples ----------------------------------------------------------------------------------

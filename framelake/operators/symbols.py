@@ -178,6 +178,23 @@ def progressive_ac_counts(blocks: DataFrame, ss: int, se: int, al: int, chunk: f
     return counted.unionByName(ends).groupBy(*KEYS, "symbol").agg(F.sum("n").alias("n"))
 
 
+# First AC passes of the ten-scan script: components, first and last coefficient, bit position.
+YCC_FIRST_PASSES = (((0,), 1, 5, 2), ((1, 2), 1, 63, 1), ((0,), 6, 63, 2))
+
+
+def pass_counts(blocks: DataFrame, passes=YCC_FIRST_PASSES, chunk: float = 65536) -> DataFrame:
+    """Symbols of sequential AC coding next to those of the first progressive AC passes, per component.
+
+    ``blocks`` needs ``pos``, the raster position: ``image_id, ci, sequential, progressive``.
+    """
+    plain = blocks.select(*KEYS, F.size(_ac_symbols("coef")).alias("_n")).groupBy(*KEYS).agg(F.sum("_n").alias("sequential"))
+    parts = [progressive_ac_counts(blocks.filter(F.col("ci").isin(*cis)), ss, se, al, chunk) for cis, ss, se, al in passes]
+    staged = parts[0]
+    for part in parts[1:]:
+        staged = staged.unionByName(part)
+    return plain.join(staged.groupBy(*KEYS).agg(F.sum("n").alias("progressive")), KEYS, "left")
+
+
 # --- code tables ---------------------------------------------------------------------------------------
 
 
