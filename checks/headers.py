@@ -7,6 +7,7 @@ from framelake.functions import orientation as o
 from framelake.operators import audit as au
 from framelake.operators import catalog as c
 from framelake.operators import headers as hd
+from framelake.plans import jobs
 
 from .base import register, spark_fx, table
 
@@ -238,13 +239,11 @@ def _(s, d):
     return t.withColumn("patched", o.patch_orientation("content", at, F.col("image_id") % 4 != 0))
 
 
-@register("patched_files", "image_id orientation", f"SELECT image_id, CASE WHEN exif_orientation = 0 THEN 0 ELSE 1 END AS orientation FROM fx_images WHERE {HAS_SOF} AND image_id % 2 = 0")
+@register("patched_files", "image_id orientation", f"SELECT image_id, CASE WHEN image_id % 2 = 1 OR exif_orientation = 0 THEN 0 ELSE 1 END AS orientation FROM fx_images WHERE {OK}")
 def _(s, d):
-    f = files(s, d).select("image_id", "content")
-    head = hd.image_headers(f.withColumn("raw", F.col("content")))
-    fixed_files = head.filter("orientation_offset IS NOT NULL AND width IS NOT NULL").select(
-        "image_id", F.when(F.col("exif_orientation") != 0, o.patch_orientation("raw", "orientation_offset", "big_endian")).otherwise(F.col("raw")).alias("content"))
-    return hd.image_headers(fixed_files).withColumnRenamed("exif_orientation", "orientation")
+    """Reset the tag in the bytes, then read the new bytes."""
+    turned = jobs.upright_files(files(s, d).select("image_id", "content"))
+    return hd.image_headers(turned).withColumnRenamed("exif_orientation", "orientation")
 
 
 @register("image_headers", "image_id width height ncomp max_h max_v exif_orientation xmp_orientation color_space:s has_exif_first:b", f"""

@@ -107,3 +107,19 @@ def test_zigzag_round_trip(spark):
     assert back == list(range(64))
     small = df.select(orders.to_natural(orders.to_zigzag("b", 3), 3).alias("b")).first().b
     assert [v for v in small if v] == [1, 2, 8, 9, 10, 16, 17, 18]
+
+
+def test_plan_to_blocks(spark):
+    """From a catalogue row to turned blocks: orientation 6 of a 24 x 16 image is a quarter turn clockwise."""
+    from framelake.operators.catalog import rotation_plan
+
+    image = np.random.default_rng(11).integers(0, 256, (16, 24)).astype(float)
+    catalog = spark.createDataFrame(
+        [(1, 24, 16, 1, 1, 1, 6, 0, False, False), (2, 24, 16, 1, 1, 1, 1, 0, False, False)],
+        "image_id int, width int, height int, ncomp int, max_h int, max_v int, exif_orientation int, xmp_orientation int, read_only boolean, trim boolean",
+    )
+    plan = rotation_plan(catalog).filter("refusal IS NULL").withColumns({"x_off": F.lit(0), "y_off": F.lit(0)})
+    comps = spark.createDataFrame([(1, 0, 1, 1), (2, 0, 1, 1)], "image_id int, ci int, h int, v int")
+    blocks = spark.createDataFrame(blocks_of(image), "image_id int, ci int, by int, bx int, coef array<double>")
+    rows = bl.rotate_blocks(blocks, bl.component_plan(plan, comps)).collect()
+    assert np.allclose(image_of(rows), np.rot90(image, -1))
