@@ -114,27 +114,44 @@ def resolve_crop_axis(size, unit, extent, extent_state, offset, offset_state, tr
     Returns ``struct<ok, extent, offset, out, units_off, wipe_units>``; every field but ``ok`` is NULL on an
     invalid request. Error conditions are tested before any subtraction.
     """
-    size, unit = col(size).cast("bigint"), col(unit).cast("bigint")
-    off = F.when(col(offset_state) == "unset", F.lit(0)).otherwise(col(offset)).cast("bigint")
-    unset = col(extent_state) == "unset"
-    ext = F.when(unset, size - off).otherwise(col(extent)).cast("bigint")
-    grows = ~unset & (ext > size)
-    ok = (
-        F.when(unset, off < size)
-        .when(grows, (col(transform) == fixed.NONE) & (off < ext) & (off <= ext - size))
-        .otherwise((off < size) & (ext > 0) & (off <= size - ext))
-    )
-    real = F.when(col(offset_state) != "neg", off).when(grows, ext - size - off).otherwise(size - ext - off)
-    out = F.when((col(extent_state) == "force") | grows, ext).otherwise(ext + real % unit)
-    return F.struct(
-        ok.alias("ok"),
-        F.when(ok, ext).alias("extent"),
-        F.when(ok, real).alias("offset"),
-        F.when(ok, F.when(col(transform) == fixed.WIPE, size).otherwise(out)).alias("out"),
-        F.when(ok, idiv(real, unit)).alias("units_off"),
-        F.when(ok & (col(transform) == fixed.WIPE), ceil_div(ext + real % unit, unit)).alias("wipe_units"),
+    transform = col(transform)
+    given = F.struct(
+        col(size).cast("bigint").alias("size"), col(unit).cast("bigint").alias("unit"),
+        F.when(col(offset_state) == "unset", F.lit(0)).otherwise(col(offset)).cast("bigint").alias("off"),
+        (col(extent_state) == "unset").alias("unset"), (col(extent_state) == "force").alias("force"),
+        (col(offset_state) == "neg").alias("neg"), col(extent).cast("bigint").alias("asked"),
     )
 
+    # Each stage is bound once; written out as one expression the same terms would be evaluated many times over.
+    def with_extent(g: Column) -> Column:
+        ext = F.when(g["unset"], g["size"] - g["off"]).otherwise(g["asked"])
+        return let(F.struct(ext.alias("ext"), (~g["unset"] & (g["asked"] > g["size"])).alias("grows")), lambda e: checked(g, e))
+
+    def checked(g: Column, e: Column) -> Column:
+        size, off, ext = g["size"], g["off"], e["ext"]
+        ok = (
+            F.when(g["unset"], off < size)
+            .when(e["grows"], (transform == fixed.NONE) & (off < ext) & (off <= ext - size))
+            .otherwise((off < size) & (ext > 0) & (off <= size - ext))
+        )
+        real = F.when(~g["neg"], off).when(e["grows"], ext - size - off).otherwise(size - ext - off)
+        return let(F.struct(ok.alias("ok"), F.when(ok, real).alias("real")), lambda c: placed(g, e, c))
+
+    def placed(g: Column, e: Column, c: Column) -> Column:
+        wipes = transform == fixed.WIPE
+        covering = e["ext"] + c["real"] % g["unit"]
+        out = F.when(wipes, g["size"]).when(g["force"] | e["grows"], e["ext"]).otherwise(covering)
+        return F.struct(
+            c["ok"].alias("ok"),
+            F.when(c["ok"], e["ext"]).alias("extent"),
+            c["real"].alias("offset"),
+            F.when(c["ok"], out).alias("out"),
+            F.when(c["ok"], idiv(c["real"], g["unit"])).alias("units_off"),
+            F.when(c["ok"] & wipes, ceil_div(covering, g["unit"])).alias("wipe_units"),
+        )
+
+    return let(given, with_extent)
+
 
 # --- scaling ---------------------------------------------------------------------------------------
 
