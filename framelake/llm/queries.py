@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, forest, langid, packing, topk, urlfilter
+from . import bpe, counts, forest, langid, ngramjoin, packing, rlz, suffix, topk, urlfilter
 from .common import LOWER, UPPER
 
 
@@ -63,6 +63,10 @@ FROM ruled
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"), size=200)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -71,6 +75,10 @@ def op5_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.digests(table(spark, sf_dir, "documents"), size=50)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), limit=2048)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -100,9 +108,13 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES = {
-    "op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op4_bpe": op4_bpe, "op5_forest_neighbours": op5_forest_neighbours,
-    "op7_token_counts": op7_token_counts, "op8_top_products": op8_top_products, "op9_best_fit": op9_best_fit,
+    "op1_language_id": op1_language_id, "op2_url_filter": op2_url_filter, "op3_suffix_dedup": op3_suffix_dedup, "op4_bpe": op4_bpe, "op5_forest_neighbours": op5_forest_neighbours,
+    "op6_substring_dedup": op6_substring_dedup, "op7_token_counts": op7_token_counts, "op8_top_products": op8_top_products, "op9_best_fit": op9_best_fit, "op10_ngram_join": op10_ngram_join,
 }
 
 SQL = {"op2_url_filter": OP2_SQL, "op8_top_products": OP8_SQL}
