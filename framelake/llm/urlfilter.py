@@ -69,9 +69,14 @@ def tokens(host: Column, path: Column) -> Column:
 
 def keyed(parts: DataFrame, rules: tuple[Rule, ...]) -> list[tuple[str, Rule]]:
     """Each rule with its key: of its tokens, the one in the fewest URLs. Rules without a token get an empty key."""
-    known = parts.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens} or {""})], "token string")
-    found = parts.select(F.explode(tokens(F.col("host"), F.col("path"))).alias("token")).join(known, "token", "left_semi")
-    times = {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}  # at most one row for each token of a rule
+    wanted = sorted({t for r in rules for t in r.tokens})
+    found = tokens(F.col("host"), F.col("path"))
+    if len(wanted) <= INLINE:
+        found = F.array_intersect(found, F.array(*map(F.lit, wanted)).cast("array<string>"))
+    counted = parts.select(F.explode(found).alias("token")).groupBy("token").count()
+    if len(wanted) > INLINE:
+        counted = counted.join(parts.sparkSession.createDataFrame([(t,) for t in wanted], "token string"), "token", "left_semi")
+    times = {r["token"]: r["count"] for r in counted.collect()}  # at most one row for each token of a rule
     return [(min(r.tokens, key=lambda t: (times.get(t, 0), t), default=""), r) for r in rules]
 
 
