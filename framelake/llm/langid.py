@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, by_rows
+from .common import by_rows
 
 UNKNOWN = "und"
 BLANK = 32
 PIECE = 1 << 19  # characters looked at together
-FOUND = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 @functools.cache
@@ -139,30 +138,48 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 20_000, dim: int = 1
     return {lang: found[lang] for lang in sorted(found)}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs`` (``doc_id, text``). One scan, no shuffle; whole texts.
+def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``lang_pred, score`` after their own columns. One scan, no shuffle; whole texts.
 
     ``score`` is the cosine with the language's prototype, at least 0. A text that is null or has no letter gets ``und`` and
-    0; so does every text if nothing was learned. Of languages with the same cosine the first by name is taken.
+    0; so does every text if nothing was learned. Of languages with the same cosine the first by name is taken. Columns of the
+    input that have these two names give way.
     """
     names = list(prototypes)
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.zeros((0, 1))
+    docs = docs.drop("lang_pred", "score")
+    place = docs.columns.index(text)
 
     def run(batches):
         for batch in by_rows(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            if not names:
-                yield batch_of(FOUND, batch.column(0), [UNKNOWN] * len(texts), [0.0] * len(texts))
-                continue
-            rows = bundles(texts, matrix.shape[1])
-            length = np.linalg.norm(rows, axis=1)
-            cosine = (rows @ matrix.T) / np.maximum(length, 1)[:, None]
-            best = cosine.argmax(axis=1)
-            some = length > 0
-            score = np.where(some, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0)
-            yield batch_of(FOUND, batch.column(0), [names[b] if s else UNKNOWN for b, s in zip(best, some)], score)
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+            texts = [t or "" for t in batch.column(place).to_pylist()]
+            langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if names:
+                rows = bundles(texts, matrix.shape[1])
+                length = np.linalg.norm(rows, axis=1)
+                cosine = (rows @ matrix.T) / np.maximum(length, 1)[:, None]
+                best = cosine.argmax(axis=1)
+                langs = [names[b] if n > 0 else UNKNOWN for b, n in zip(best, length)]
+                score = np.where(length > 0, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{own}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every row, as ``annotate`` has them."""
+    return annotate(docs.select("doc_id", F.col("text").cast("string").alias("text")), prototypes)
+
+
+def known_language(docs: DataFrame, prototypes: dict[str, np.ndarray], score: float = 0.2, length: int = 200) -> DataFrame:
+    """The documents that are in a language at all: they have letters and, if of ``length`` characters or more, this score.
+
+    In short texts a low score says little, so they stay.
+    """
+    found = annotate(docs, prototypes)
+    good = (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= score) | (F.length("text") < length))
+    return found.filter(good).select(*docs.columns)
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:

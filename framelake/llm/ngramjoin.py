@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import PIECE, SIGNS, _mix
@@ -31,8 +31,9 @@ from .components import components
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 ODD = np.uint64(0x9E3779B97F4A7C15)
+NO_ID = -(2**63)
 COMBINED = 300  # sets of up to so many tokens have combinations as keys, those of more than ``percent`` of that single tokens
-TOLD = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64())])
+TOLD = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -171,33 +172,30 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
     yield from links()
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.001, block_docs: int = 1024, block_tokens: int = 1 << 21) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``).
-
-    Documents link when 100 * intersection >= ``percent`` * union of their token sets. ``component_id``: the smallest id that
-    links lead to, the own one included. A null or wordless text has no token and no link. Rows with one id are documents of
-    their own; null ids take part but name a component only where there is no other. ``often``: a token of about this share of the
-    documents (and of 64) is of the frequent class. The class holds at most twice the mean number of tokens over ``often``,
-    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once.
+def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.001, block_docs: int = 1024, block_tokens: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+    """What ``join`` and ``one_of_each`` build on: ``doc, h, n, sid`` of every row (``h``: a hash of the text), and ``sid, n,
+    component_id, doc, first`` of every token set that has a partner, where ``doc, first`` are the id and set of its class's first.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
+    hashed = rows.select("doc", F.xxhash64("text").alias("h"), "text")
     total = rows.count()
     least = max(64.0, often * total)
 
     def described(batches):
         for batch in batches:
-            sets = [tokens(t, words) for t in batch.column(1).to_pylist()]
-            yield batch_of(TOLD, batch.column(0), [len(s) for s in sets], [set_id(s) for s in sets], pa.nulls(len(sets), pa.int64()))
+            sets = [tokens(t, words) for t in batch.column(2).to_pylist()]
+            yield batch_of(TOLD, batch.column(0), batch.column(1), [len(s) for s in sets], [set_id(s) for s in sets], pa.nulls(len(sets), pa.int64()))
             # A token of the frequent class has its share of the rows in some batch.
             found, times = np.unique(np.concatenate([np.zeros(0, "u8"), *sets]), return_counts=True)
             some = times * total >= least * batch.num_rows
-            yield batch_of(TOLD, pa.nulls(int(some.sum()), pa.int64()), times[some], pa.nulls(int(some.sum()), pa.int64()), found[some].view("i8"))
+            none = pa.nulls(int(some.sum()), pa.int64())
+            yield batch_of(TOLD, none, none, times[some], none, found[some].view("i8"))
 
-    told = stored(rows.mapInArrow(described, "doc long, n long, sid long, token long"), "sets")
+    told = stored(hashed.mapInArrow(described, "doc long, h long, n long, sid long, token long"), "sets")
     often_found = told.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("times")).filter(F.col("times") >= least / 2)
     hot = np.sort(np.array([r["token"] for r in often_found.select("token").collect()], "i8").view("u8"))
-    told = told.filter("token IS NULL").select("doc", "n", "sid")
+    told = told.filter("token IS NULL").select("doc", "h", "n", "sid")
 
     def keyed(batches):
         for batch in by_rows(batches, 1024):
@@ -218,7 +216,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.00
     canopies = components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
 
     # One document of each token set stands for it.
-    first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") > -(2**63), F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")), "first")
+    first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") > NO_ID, F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")), "first")
     member = stored(canopies.join(first, "sid"), "members")
     blocks = member.groupBy("canopy").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens)).alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
@@ -228,10 +226,37 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.00
     met = rows.join(dealt, "doc").select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
     links = components(met.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"))
 
-    classes = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
-    classes = classes.withColumn("root", F.coalesce("root", "sid"))
-    named = classes.join(classes.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("sid", "n", "component_id")
-    doc_id = F.when(F.col("doc") > -(2**63), F.col("doc"))
-    return told.join(stored(named, "named"), ["sid", "n"], "left").select(
+    found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
+    found = found.withColumn("root", F.coalesce("root", "sid"))
+    heads = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc", "sid")).alias("head"))
+    return told, stored(found.select("sid", "n", "root").join(heads, "root").select("sid", "n", "component_id", "head.doc", F.col("head.sid").alias("first")), "classes")
+
+
+def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id, text``).
+
+    Documents link when 100 * intersection >= ``percent`` * union of their token sets. ``component_id``: the smallest id that
+    links lead to, the own one included. A null or wordless text has no token and no link. Rows with one id are documents of
+    their own; null ids take part but name a component only where there is no other. ``often``: a token of about this share of the
+    documents (and of 64) is of the frequent class. The class holds at most twice the mean number of tokens over ``often``,
+    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once.
+    """
+    told, found = classes(docs, words, percent, **limits)
+    doc_id = F.when(F.col("doc") > NO_ID, F.col("doc"))
+    return told.join(found.drop("doc"), ["sid", "n"], "left").select(
         doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", doc_id).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each class that links make, the row with the smallest id stays.
+
+    Rows without an id count as smallest. Of equal rows one stays; rows without a word all stay. Same parameters as ``join``.
+    """
+    told, found = classes(docs, words, percent, **limits)
+    kept = told.join(found.withColumnRenamed("doc", "head"), ["sid", "n"], "left")
+    kept = kept.filter("head IS NULL OR (doc = head AND sid = first)").groupBy("doc", "h").agg(F.max("n").alias("n"))
+    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    met = own.join(kept.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("n").alias("_n")), ["_doc", "_h"])
+    again = F.row_number().over(Window.partitionBy("_doc", "_h").orderBy("_doc"))
+    return met.withColumn("_again", again).filter("_again = 1 OR _n = 0").select(*docs.columns)

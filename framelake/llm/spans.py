@@ -23,11 +23,11 @@ from .common import batch_of, by_rows, stored
 NO_ID = -(2**63)
 UNITS = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("again", pa.bool_())])
 UNITS_DDL = "anchor long, name long, doc long, tag long, at int, n short, again boolean"
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc, tag, text``: the id (a fixed number for none) and a hash that tells rows of one id apart. Equal rows stay equal."""
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc, tag, text`` and further columns: the id (a fixed number for none) and a hash that tells rows of one id apart."""
     text = F.col("text").cast("string")
     tag = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.hash(text))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), text.alias("text"), *more)
 
 
 def own_id() -> F.Column:
@@ -90,9 +90,9 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
 
     ``units_of(text)``: units of a text. ``piece_of(text, marks)``: the symbols of units, as text or bytes. ``compare(rows)``: repeated
     windows among the units of one or more anchors. ``names_of(piece, n)``: 64-bit names of a unit's windows. ``finish``: from
-    batches of (doc, text, first windows, numbers of windows) to the result rows. ``most``: units of one anchor that one task compares.
+    batches of (doc_id, text, first windows, numbers of windows, further columns of ``rows``) to the result rows. ``most``: units of one anchor that one task compares.
     """
-    marks = stored(mark(unit_rows(rows, units_of, by_doc), by_doc), "marks")
+    marks = stored(mark(unit_rows(rows.select("doc", "tag", "text"), units_of, by_doc), by_doc), "marks")
     busy = stored(marks.filter("anchor IS NOT NULL").groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("busy")), "busy")
     asked = marks.filter("anchor IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("marks"))
 
@@ -105,7 +105,7 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
                         c.append(x)
             yield batch_of(PIECES, *cols)
 
-    texts = rows.select("doc", "tag", "text")
+    texts, more = rows, rows.columns[3:]
     pieces = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(fetch, PIECES_DDL)
     some_busy = not busy.isEmpty()
     plain = pieces.join(busy, "anchor", "left_anti").select(*PIECES.names) if some_busy else pieces
@@ -128,7 +128,7 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
         found = found.unionByName(hits.select("doc", "tag", "at", F.lit(1).cast("short").alias("n")))
     whole = marks.filter("anchor IS NULL").select("doc", "tag", "at", "n")
     spans = whole.unionByName(found).groupBy("doc", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    return texts.join(spans, ["doc", "tag"], "left").select(own_id().alias("doc_id"), "text", "at", "n").mapInArrow(finish, out)
+    return texts.join(spans, ["doc", "tag"], "left").select(own_id().alias("doc_id"), "text", "at", "n", *more).mapInArrow(finish, out)
 
 
 PIECES = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("anchor", pa.int64()), ("piece", pa.binary())])

@@ -19,6 +19,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import spans
 from .anchors import Rolling, byte_symbols, units
@@ -110,23 +111,54 @@ def repeated(pieces: list[bytes], windows: list[int], size: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, volume: int = 1 << 22) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` of every row of ``docs`` (``doc_id, text``).
+    """The rows of ``docs`` with ``text`` less its repeats, and ``n_removed, n_spans`` after their own columns.
 
-    Texts are taken as UTF-8 bytes, null as empty; ``kept`` are the bytes no repeated string covers. Strings are judged on the input; a
-    string may repeat within its text, overlapping or not. Texts shorter than ``size`` stay whole. Rows with one id are documents
-    of their own, so two equal rows repeat each other. ``size``: a multiple of 8 over 64. ``volume``: bytes a task sorts at a time.
+    Texts are taken as UTF-8 bytes, null as empty; every byte that a repeated string covers goes, and what a cut leaves of a
+    character goes with it. Strings are judged on the input; a string may repeat within its text, overlapping or not. Texts
+    shorter than ``size`` stay whole. Rows with one id are documents of their own, so two equal rows repeat each other. ``size``: a
+    multiple of 8 over 64. ``volume``: bytes a task sorts at a time. Columns of the input that have the new names give way.
     """
-    return _find(docs, size, k, volume, True)
+    docs = docs.drop("n_removed", "n_spans")
+    rows = spans.keyed(docs, F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in docs.columns]).alias("own"))
+
+    def finish(batches):
+        for batch in by_rows(batches):
+            texts, removed, many = [], [], []
+            for text, at, n in zip(*(c.to_pylist() for c in batch.columns[1:4])):
+                data, kept, runs = cut_out(text, at, n, size)
+                texts.append(text if len(kept) == len(data) else kept.decode("utf-8", "ignore"))
+                removed.append(len(data) - len(kept))
+                many.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(many, pa.int64())], names=["own", "kept", "n_removed", "n_spans"])
+
+    found = _find(rows, size, k, volume, finish, f"own {rows.schema['own'].dataType.simpleString()}, kept string, n_removed long, n_spans long")
+    return found.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns], "n_removed", "n_spans")
 
 
-def digests(docs: DataFrame, size: int = 200) -> DataFrame:
-    """As ``remove_repeats``, without the kept bytes themselves."""
-    return _find(docs, size, 64, 1 << 22, False)
+def digests(docs: DataFrame, size: int = 200, k: int = 64, volume: int = 1 << 22) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` by the same rules; the hash is of the bytes left."""
 
+    def finish(batches):
+        for batch in by_rows(batches):
+            out = []
+            for doc, text, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                data, kept, runs = cut_out(text, at, n, size)
+                out.append((doc, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+            yield batch_of(OUT, *zip(*out))
 
-def _find(docs: DataFrame, size: int, k: int, volume: int, with_kept: bool) -> DataFrame:
-    schema = OUT.append(pa.field("kept", pa.binary())) if with_kept else OUT
+    return _find(spans.keyed(docs), size, k, volume, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+
+def cut_out(text: str | None, at: list[int] | None, n: list[int] | None, size: int) -> tuple[bytes, bytes, int]:
+    """The bytes of a text, those that the windows leave, and how many runs go."""
+    data = (text or "").encode("utf-8", "replace")
+    if not at:
+        return data, data, 0
+    gone = spans.covered(len(data), at, n, size)
+    return data, np.frombuffer(data, "u1")[~gone].tobytes(), len(spans.runs(gone)[0])
+
+
+def _find(rows: DataFrame, size: int, k: int, volume: int, finish, ddl: str) -> DataFrame:
     def units_of(text: str):
         data = text.encode("utf-8", "replace")
         if len(data) >= size:
@@ -150,15 +182,4 @@ def _find(docs: DataFrame, size: int, k: int, volume: int, with_kept: bool) -> D
     def names_of(piece: bytes, n: int) -> np.ndarray:
         return Rolling(byte_symbols(piece)).at(slice(0, n), slice(size, size + n))
 
-    def finish(batches):
-        for batch in by_rows(batches):
-            out = []
-            for doc, text, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode("utf-8", "replace")
-                gone = spans.covered(len(data), at, n, size) if at else None
-                kept = data if gone is None else np.frombuffer(data, "u1")[~gone].tobytes()
-                out.append((doc, len(data), len(data) - len(kept), 0 if gone is None else len(spans.runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
-            yield batch_of(schema, *zip(*out))
-
-    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return spans.find(spans.keyed(docs), units_of, piece_of, compare, names_of, finish, ddl, by_doc=False, most=4 * volume // size)
+    return spans.find(rows, units_of, piece_of, compare, names_of, finish, ddl, by_doc=False, most=4 * volume // size)
