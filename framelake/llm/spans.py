@@ -35,8 +35,9 @@ def own_id() -> F.Column:
 
 
 def unit_rows(rows: DataFrame, units_of: Callable[[str], Iterator[tuple]], by_doc: bool) -> DataFrame:
-    """Units of all texts. ``by_doc`` false: copies of a unit within a batch are settled on the spot (``again``); only the first of
-    them competes under its name, so a hot name has a row or two for each batch. The settled ones are dealt by their text instead.
+    """Units of all texts. Copies of a unit within a batch are settled on the spot (``again``): all but those of the smallest
+    ``doc``, or without ``by_doc`` all. Of these, only those of the smallest document (one of them without ``by_doc``) compete under
+    their name, so a hot name has few rows for each batch; the others are dealt by their text instead.
     """
 
     def run(batches):
@@ -48,20 +49,20 @@ def unit_rows(rows: DataFrame, units_of: Callable[[str], Iterator[tuple]], by_do
             if not cols:
                 continue
             anchor, name, row, at, n = map(np.concatenate, zip(*cols))
-            again = np.zeros(len(at), bool)
-            if not by_doc:
-                order = np.lexsort((name, anchor))
-                same = (anchor[order][1:] == anchor[order][:-1]) & (name[order][1:] == name[order][:-1])
-                later, earlier = order[1:][same], order[:-1][same]
-                again[later] = again[earlier] = True
-                first = order[np.concatenate([[True], ~same])]
-                spread = np.ones(len(at), bool)
-                spread[first] = False
-                anchor = np.where(spread, docs[row] * 31 + at, anchor)
-                name = np.where(spread, 0, name)
+            doc = docs[row]
+            order = np.lexsort((doc, name, anchor))
+            fresh = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (name[order][1:] != name[order][:-1])])
+            group = np.cumsum(fresh) - 1
+            again, spread = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            if by_doc:
+                again[order] = spread[order] = doc[order] > doc[order][fresh][group]
+            else:
+                again[order], spread[order] = np.bincount(group)[group] > 1, ~fresh
+            anchor = np.where(spread, doc * 31 + at, anchor)
+            name = np.where(spread, 0, name)
             for lo in range(0, len(at), 1 << 16):
                 s = slice(lo, lo + (1 << 16))
-                yield batch_of(UNITS, anchor[s], name[s], docs[row[s]], tags[row[s]], at[s].astype("i4"), n[s].astype("i2"), again[s])
+                yield batch_of(UNITS, anchor[s], name[s], doc[s], tags[row[s]], at[s].astype("i4"), n[s].astype("i2"), again[s])
 
     return rows.mapInArrow(run, UNITS_DDL)
 
@@ -75,7 +76,8 @@ def mark(units: DataFrame, by_doc: bool) -> DataFrame:
     group, name = Window.partitionBy("anchor"), Window.partitionBy("anchor", "name").orderBy("doc" if by_doc else "name")
     seen = units.withColumn("_first", F.row_number().over(name) == 1).withColumn("_differ", F.min("name").over(group) != F.max("name").over(group))
     if by_doc:
-        seen = seen.withColumn("_whole", F.col("doc") > F.first("doc").over(name)).withColumn("_compare", F.col("_differ") & ~F.col("_whole"))
+        seen = seen.withColumn("_whole", F.col("again") | (F.col("doc") > F.first("doc").over(name)))
+        seen = seen.withColumn("_compare", F.col("_differ") & ~F.col("_whole"))
     else:
         seen = seen.withColumn("_whole", F.col("again") | ~F.col("_first") | F.lead(F.lit(True), 1, False).over(name))
         seen = seen.withColumn("_compare", F.col("_differ") & F.col("_first") & (F.col("name") != 0))
