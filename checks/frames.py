@@ -173,9 +173,9 @@ def _(s, d):
 
 @register("smoothing_ok", "image_id smoothing_ok:b", ACC + """
 SELECT image_id, bool_and(ok) AND bool_or(inexact) AS smoothing_ok FROM (
- SELECT image_id, ci, min(al) FILTER (coef = 0) >= 0 AND (image_id % 7 <> 0 OR ci <> 1) AS ok, bool_or(coef > 0 AND al <> 0) AS inexact FROM acc WHERE coef <= 5 AND ci < 3 GROUP BY 1, 2) GROUP BY 1""")
+ SELECT image_id, ci, min(al) FILTER (coef = 0) >= 0 AND (image_id % 7 <> 0 OR ci <> 1) AS ok, bool_or(coef > 0 AND al <> 0) AS inexact FROM acc WHERE coef <= 5 GROUP BY 1, 2) GROUP BY 1""")
 def _(s, d):
-    c9 = spark_fx(s, d, "fx_comps9").filter("ci < 3")
+    c9 = spark_fx(s, d, "fx_comps9")
     q = F.when((F.col("image_id") % 7 == 0) & (F.col("ci") == 1), F.array_repeat(F.lit(0), 64)).otherwise(F.array_repeat(F.lit(3), 64))
     return sc.smoothing_ok(sc.coef_accuracy(pscans(s, d), c9), c9.withColumn("q", q))
 
@@ -299,6 +299,7 @@ def _(s, d):
     return fr.carry_parameters(f, comps(s, d).withColumn("component_id", F.col("ci") + 1))
 
 
-@register("dqt_precision", "image_id slot bits", "SELECT image_id, slot, CASE WHEN max(qv) * 5 > 255 THEN 16 ELSE 8 END AS bits FROM fx_tables GROUP BY 1, 2")
+@register("dqt_precision", "image_id slot bits", "SELECT o_custkey AS image_id, o_orderkey % 4 AS slot, CASE WHEN max(1 + o_orderkey % 60) * 5 > 255 THEN 16 ELSE 8 END AS bits FROM orders GROUP BY 1, 2")
 def _(s, d):
-    return fr.dqt_precision(spark_fx(s, d, "fx_tables").withColumn("q", F.array_repeat(F.col("qv") * 5, 64)))
+    rows = table(s, d, "orders").selectExpr("o_custkey AS image_id", "o_orderkey % 4 AS slot", "1 + o_orderkey % 60 AS qv")
+    return fr.dqt_precision(rows.withColumn("q", F.array_repeat(F.col("qv") * 5, 64)))

@@ -7,7 +7,7 @@ from framelake.operators import palette as pa
 from .base import register, spark_fx, table
 
 # Pixels of a corpus, and palettes and boxes that come from its own colours.
-HIST = "hist AS (SELECT 0 AS image_id, r // 8 AS c0, g // 4 AS c1, b // 8 AS c2, least(count(*), 65535) AS n FROM fx_pixels GROUP BY 2, 3, 4)"
+HIST = "hist AS (SELECT 0 AS image_id, r // 8 AS c0, g // 4 AS c1, b // 8 AS c2, count(*) AS n FROM fx_pixels GROUP BY 2, 3, 4)"
 
 
 def corpus(s, d):
