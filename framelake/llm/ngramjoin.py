@@ -1,11 +1,13 @@
 """Jaccard join of documents on word n-grams, by token-combination prefixes.
 
 A document's tokens are the hashes of its distinct n-grams. Tokens are ordered: rare ones first, by hash, then those of the
-frequent class, by hash. Two documents that are similar enough lack few of each other's tokens, so they share a token within a short
-prefix of that order. In the rare class a shared token is a key by itself. In the frequent class only a combination of two tokens
-is: the prefix is extended by one token, so that two similar documents that share no rare token in it share at least two
-frequent ones. Documents of many tokens, whose combinations would be too many, keep single tokens in both classes; around the
-limit they have both kinds of key, wide enough that any similar pair has one kind in common.
+frequent class, by hash. Two documents that are similar enough lack few of each other's tokens, so they share some within
+prefixes of that order. The prefix is extended until that is two tokens or more, and half as many as may be lacking. In the
+rare class a shared token is a key by itself; in the frequent class only a combination of two is, so that similar documents
+that share no rare token still share a key. Documents of many tokens, whose combinations would be too many, keep single tokens
+in both classes; around the limit they have both kinds of key, wide enough that any similar pair has one kind in common.
+
+The extension also tells who has no partner: a document of whose prefix too few tokens stand in any other prefix goes.
 
 Documents that share a key stand in one canopy. Neighbours by size within a key are linked, never all pairs: a canopy is
 a connected component of these links, and two documents of different canopies cannot be similar. Within a canopy all overlaps
@@ -34,7 +36,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 COMBINED = 300  # sets of up to so many tokens have combinations as keys, those of more than ``percent`` of that single tokens
 TOLD = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("token", pa.int64())])
-KEYS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64())])
+KEYS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("kind", pa.int32())])
+RARE, OTHER = -1, -2  # kinds of key; a set's row of its own has the number of frequent tokens in its prefix instead
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -91,31 +94,58 @@ def set_id(t: np.ndarray) -> int:
     return int(_mix(_mix(t).sum(keepdims=True, dtype="u8") ^ _mix(t * ODD + np.uint64(1)).sum(keepdims=True, dtype="u8") * ODD).view("i8")[0]) if len(t) else 0
 
 
-def prefix_keys(t: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set of tokens; ``t`` and ``hot``, the tokens of the frequent class, are in ascending order.
+def lacking(n, percent: int):
+    """Tokens of a set of n that a similar one may lack at most."""
+    return n - -(-percent * n // 100)
+
+
+def least_shared(n, percent: int):
+    """How many tokens of its prefix a set of n shares with the prefix of a similar one, if its own ends first; two or more from n = 2."""
+    return np.minimum(n - lacking(n, percent), lacking(n, percent) // 2 + 2)
 
-    A similar document lacks at most ``miss`` tokens. So of the first miss + 1 tokens in the common order it has one, and of the
-    first miss + 2 it has two: a rare one, or two frequent ones. A set of one token is similar to no other set.
+
+def prefix(t: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a set of tokens: its rare tokens, the keys of its frequent ones, and how many frequent ones there are.
+
+    ``t`` and ``hot``, the tokens of the frequent class, are in ascending order.
     """
-    miss = len(t) - -(-percent * len(t) // 100)
-    is_hot = hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t if len(hot) else np.zeros(len(t), bool)
-    rare, often = t[~is_hot], t[is_hot]
-    out = [rare[: miss + 1]]
-    if need := max(0, miss + 1 - len(rare)):
-        if len(t) > percent * COMBINED // 100:
-            out.append(often[:need])
-        if len(t) <= COMBINED:
-            o = often[: need + 1]
-            i, j = np.triu_indices(len(o), 1)
-            out.append(_mix(o[i] * ODD + o[j]))
-    return np.unique(np.concatenate(out))
+    n = len(t)
+    size = lacking(n, percent) + int(least_shared(n, percent))
+    is_hot = hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t if len(hot) else np.zeros(n, bool)
+    rare = t[~is_hot][:size]
+    often = t[is_hot][: size - len(rare)]
+    keys = [often] if n > percent * COMBINED // 100 else []
+    if n <= COMBINED:
+        i, j = np.triu_indices(len(often), 1)
+        keys.append(_mix(often[i] * ODD + often[j]))
+    return rare, np.unique(np.concatenate(keys)), len(often)
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key another set has too, and sets' rows of their own, once each; the rows come sorted by key and set."""
+    last = None  # the last row so far, and whether it was given out
+    for batch in batches:
+        cols, given = [c.to_numpy() for c in batch.columns], False
+        if last is not None:
+            cols, given = [np.concatenate([h, c]) for h, c in zip(last[0], cols)], last[1]
+        key, _, sid, kind = cols
+        if not len(key):
+            continue
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])
+        cols = [c[fresh] for c in cols]
+        key, _, sid, kind = cols
+        same = key[1:] == key[:-1]
+        good = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (kind >= 0)
+        last = [c[-1:] for c in cols], bool(good[-1]) or (given and len(key) == 1)
+        good[0] &= not given
+        yield batch_of(KEYS, *[c[good] for c in cols])
 
 
 def _edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links of neighbours by size within a key; the rows come sorted by key and size."""
     carry = None
     for batch in batches:
-        key, n, sid = (c.to_numpy() for c in batch.columns)
+        key, n, sid = (c.to_numpy() for c in batch.columns[:3])
         if carry is not None:
             key, n, sid = (np.concatenate([[c], x]) for c, x in zip(carry, (key, n, sid)))
         if len(key):
@@ -199,20 +229,32 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
 
     def keyed(batches):
         for batch in by_rows(batches, 1024):
-            parts: dict[int, tuple[int, np.ndarray]] = {}
+            parts: dict[int, tuple] = {}
             for t in batch.column(1).to_pylist():
                 s = tokens(t, words)
                 if len(s) and (sid := set_id(s)) not in parts:
-                    parts[sid] = len(s), prefix_keys(s, hot, percent)
+                    parts[sid] = len(s), *prefix(s, hot, percent)
             if parts:
-                many = [len(k) for _, k in parts.values()]
+                keys, kinds, many = [], [], []
+                for sid, (_, rare, other, often) in parts.items():
+                    keys += [rare, other, np.array([sid]).view("u8")]
+                    kinds += [np.full(len(rare), RARE), np.full(len(other), OTHER), np.array([often])]
+                    many.append(len(rare) + len(other) + 1)
                 yield batch_of(
-                    KEYS, np.concatenate([k for _, k in parts.values()]).view("i8"),
-                    np.repeat(np.array([n for n, _ in parts.values()], "i4"), many), np.repeat(np.array(list(parts), "i8"), many),
+                    KEYS, np.concatenate(keys).view("i8"), np.repeat(np.array([p[0] for p in parts.values()], "i4"), many),
+                    np.repeat(np.array(list(parts), "i8"), many), np.concatenate(kinds).astype("i4"),
                 )
 
-    keys = rows.mapInArrow(keyed, "key long, n int, sid long")
-    near = keys.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda b: _edges(b, percent), "a long, b long")
+    keys = rows.mapInArrow(keyed, "key long, n int, sid long, kind int")
+    live = stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "key long, n int, sid long, kind int"), "live")
+    # A set that has a similar one shares enough of its prefix; most sets do not, and go.
+    shared = F.count_if(F.col("kind") == RARE) + F.max(F.when(F.col("kind") >= 0, F.col("kind")))
+    partner = F.ceil(F.lit(percent) * F.col("n") / 100)
+    lack = F.floor((100 - percent) * partner / 100)
+    need = F.least(partner - lack, F.floor(lack / 2) + 2)
+    some = live.groupBy("sid", "n").agg(shared.alias("shared")).filter(F.col("shared") >= need).select("sid", "n")
+    close = live.filter("kind < 0").join(stored(some, "some"), ["sid", "n"]).select("key", "n", "sid")
+    near = close.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda b: _edges(b, percent), "a long, b long")
     canopies = components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
 
     # One document of each token set stands for it.

@@ -88,20 +88,31 @@ def test_jaccard_classes(spark):
     assert ngramjoin.join(docs.limit(0)).count() == 0
 
 
-def test_frequent_tokens_combine(monkeypatch, spark):
-    """With every token in the frequent class, pairs are found by combinations alone."""
-    docs = plain.docs(spark)
-    plain_keys = ngramjoin.prefix_keys
-    monkeypatch.setattr(ngramjoin, "prefix_keys", lambda t, hot, percent: plain_keys(t, t, percent))
-    sets = [ngramjoin.tokens(t) for t in plain.texts()]
-    want = plain.jaccard([(i, t) for i, t in enumerate(plain.texts())])
-    for a, x in enumerate(sets):
-        for b, y in enumerate(sets[:a]):
+def test_similar_sets_share_a_key_whatever_is_frequent():
+    """With no token, some or all of them in the frequent class; and both sides share as much of their prefixes as they need to stay."""
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 40), 250, 256, 299, 301, 340]:
+        for _ in range(6):
+            x = np.unique(rng.integers(0, 1 << 62, n, dtype="u8"))
+            y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - rng.integers(0, len(x) // 6 + 1)], rng.integers(0, 1 << 62, rng.integers(0, n // 9 + 1), dtype="u8")]))
             both = len(np.intersect1d(x, y))
-            if 100 * both >= 85 * (len(x) + len(y) - both) > 0 and len(x) > 1 and set(x.tolist()) != set(y.tolist()):
-                assert len(np.intersect1d(ngramjoin.prefix_keys(x, None, 85), ngramjoin.prefix_keys(y, None, 85)))
-    assert [len(s) for s in sets] == [n for _, n, _ in want]
-    assert docs.count() > 0
+            if not 100 * both >= 85 * (len(x) + len(y) - both) or np.array_equal(x, y):
+                continue
+            every = np.union1d(x, y)
+            for hot in (every[:0], every, every[rng.random(len(every)) < 0.5], every[rng.random(len(every)) < 0.9]):
+                (r1, o1, f1), (r2, o2, f2) = (ngramjoin.prefix(s, hot, 85) for s in (x, y))
+                assert len(np.intersect1d(r1, r2)) + len(np.intersect1d(o1, o2))
+                for s, f in ((x, f1), (y, f2)):
+                    assert len(np.intersect1d(r1, r2)) + f >= ngramjoin.least_shared(-(-85 * len(s) // 100), 85)
+
+
+def test_live_rows_over_batch_borders():
+    rows = [(1, 3, 7, -1), (1, 3, 7, -1), (1, 3, 8, -1), (2, 3, 7, -1), (3, 3, 5, -1), (3, 3, 6, -1), (3, 3, 9, -1), (4, 3, 1, 0), (5, 3, 1, -2), (6, 3, 2, -1), (6, 3, 2, -1)]
+    want = sorted(set(rows) - {(2, 3, 7, -1), (5, 3, 1, -2), (6, 3, 2, -1)})
+    for size in range(1, 12):
+        batches = [ngramjoin.batch_of(ngramjoin.KEYS, *zip(*rows[i : i + size])) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in ngramjoin._live(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == want
 
 
 def test_one_of_each(spark):
