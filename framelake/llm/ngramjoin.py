@@ -253,7 +253,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     lack = F.floor((100 - percent) * partner / 100)
     need = F.least(partner - lack, F.floor(lack / 2) + 2)
     some = live.groupBy("sid", "n").agg(shared.alias("shared")).filter(F.col("shared") >= need).select("sid", "n")
-    close = live.filter("kind < 0").join(stored(some, "some"), ["sid", "n"]).select("key", "n", "sid")
+    # These lists grow with the corpus, so they are merged at every size rather than sent to all tasks while they are small.
+    close = live.filter("kind < 0").join(stored(some, "some").hint("merge"), ["sid", "n"]).select("key", "n", "sid")
     near = close.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda b: _edges(b, percent), "a long, b long")
     canopies = components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
 
@@ -265,7 +266,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = member.join(blocks, "canopy").withColumn("_own", own).withColumn("_other", other)
     dealt = dealt.select("doc", "sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
-    met = rows.join(dealt, "doc").select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
+    met = rows.join(dealt.hint("merge"), "doc").select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
     links = components(met.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"))
 
     found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
