@@ -83,7 +83,7 @@ def _(s, d):
 
 @register("repair_from_files", "image_id tag vals:a", FILE_PLAN + """, q AS (SELECT image_id, o, out_w AS w, out_h AS h, width, image_id % 50 AS x, image_id % 40 AS y, exif_orientation AS e FROM p
  WHERE o BETWEEN 2 AND 8 AND NOT read_only AND image_id % 2 = 0)
-SELECT image_id, 274 AS tag, [CASE WHEN e = 0 THEN 0 ELSE 1 END] AS vals FROM q UNION ALL SELECT image_id, 34665, [38] FROM q UNION ALL SELECT image_id, 40962, [w] FROM q
+SELECT image_id, 274 AS tag, [CASE WHEN e = 0 THEN 0 ELSE 1 END] AS vals FROM q UNION ALL SELECT image_id, 34665, [38] FROM q UNION ALL SELECT image_id, 40962, [CASE WHEN image_id % 3 = 0 THEN width ELSE w END] FROM q
 UNION ALL SELECT image_id, 37396, [CASE o WHEN 2 THEN w-x WHEN 3 THEN w-x WHEN 5 THEN y WHEN 6 THEN w-y WHEN 7 THEN w-y WHEN 8 THEN y ELSE x END,
  CASE o WHEN 3 THEN h-y WHEN 4 THEN h-y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN h-x WHEN 8 THEN h-x ELSE y END, CASE WHEN o >= 5 THEN 3 ELSE 7 END, CASE WHEN o >= 5 THEN 7 ELSE 3 END] FROM q""")
 def _(s, d):
@@ -98,6 +98,7 @@ UNION ALL SELECT 'dqt_slot', 'error', count(*) FROM fx_images WHERE {OK} AND ima
 UNION ALL SELECT 'bad_progression', 'error', count(*) FROM fx_images WHERE {HAS_SOF} AND image_id % 6 = 0 AND ncomp = 1
 UNION ALL SELECT 'not_sequential', 'warning', count(*) FROM fx_images WHERE {HAS_SOF} AND image_id % 6 <> 0 AND ncomp = 3
 UNION ALL SELECT 'missing_table', 'error', count(DISTINCT image_id) FROM fx_components WHERE {HAS_SOF} AND ((ci = 0 AND image_id % 23 = 0) OR (ci > 0 AND image_id % 13 <> 0))
+UNION ALL SELECT 'discarded_bytes', 'warning', count(*) FROM fx_images WHERE {OK} AND image_id % 7 = 0
 UNION ALL SELECT 'jfif_version', 'warning', count(*) FROM fx_images WHERE {OK} AND image_id % 3 = 0 AND image_id % 4 IN (0, 3)""")
 def _(s, d):
     return jobs.corpus_audit(files(s, d).select("image_id", "content")).groupBy("issue", "severity").agg(F.count("*").alias("images"))

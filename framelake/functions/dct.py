@@ -55,5 +55,5 @@ def idct(coefs, nx: int = 8, ny: int = 8) -> Column:
 
 
 def to_samples(values) -> Column:
-    """Round and limit to 0..255."""
-    return F.transform(col(values), lambda v: F.least(F.greatest(F.floor(v + 0.5), F.lit(0)), F.lit(255)).cast("int"))
+    """Round and limit to 0..255. Six places are kept first, so that halves don't depend on the order of a sum."""
+    return F.transform(col(values), lambda v: F.least(F.greatest(F.floor(F.round(v, 6) + 0.5), F.lit(0)), F.lit(255)).cast("int"))

@@ -16,6 +16,7 @@ from .orders import zigzag_ranks
 MARKER = "\\xff[^\\xff\\x00]"
 TRAILING_FILL = "\\xff+\\z"
 STUFFED = "\\xff+\\x00"
+WINDOW = 4096
 EXIF_PREFIX = b"Exif\0\0"
 XMP_PREFIX = b"http://ns.adobe.com/xap/1.0/\0"
 XMP_ORIENTATION = r"tiff:Orientation\s*(?:=\s*[\"']|>)\s*(\d+)"
@@ -35,16 +36,21 @@ def _reserved(marker: Column) -> Column:
 def segment_array(content) -> Column:
     """One struct per marker from the start of the image to the first scan header, which ends the walk.
 
-    The number of steps is bounded by the number of marker-like byte pairs in the whole file, so no file is
-    cut short. A step normally reads a few bytes; only where the next marker does not follow at once are the
-    bytes searched, skipping fill bytes and counting the others as discarded.
+    A marker takes two bytes, so a file has at most half as many as bytes. A fold can't end early, so the steps are a fold
+    of folds, each as long as the root of that number, and an inner one runs only while the walk goes on: no file is cut
+    short, and the cost follows the headers, not the file. A step normally reads a few bytes; only where the next marker
+    does not follow at once are the bytes searched, first a window, then if need be the rest, skipping fill bytes and
+    counting the others as discarded. The bytes are bound once: each use of a column would copy the whole file.
     """
-    c = col(content)
+    return let(col(content), _walk)
+
+
+def _walk(c: Column) -> Column:
     size = F.length(c)
-    steps = F.regexp_count(F.decode(c, "ISO-8859-1"), F.lit(MARKER))
+    steps = F.sequence(F.lit(1), F.ceil(F.sqrt(size / 2.0)).cast("int") + 1)
 
     def find(p: Column) -> Column:
-        rest = F.decode(c.substr(p.cast("int") + 1, size), "ISO-8859-1")
+        part = lambda n: F.decode(c.substr(p.cast("int") + 1, n), "ISO-8859-1")
 
         def search(text: Column) -> Column:
             def located(at: Column) -> Column:
@@ -58,7 +64,8 @@ def segment_array(content) -> Column:
 
         at_once = (u8(c, p) == 0xFF) & ~u8(c, p + 1).isin(0x00, 0xFF)
         here = F.struct((p + 1).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("discarded"))
-        return F.when(F.coalesce(at_once, F.lit(False)), here).otherwise(let(rest, search))
+        near = lambda text: F.when((size - p <= WINDOW) | (F.regexp_instr(text, F.lit(MARKER)) > 0), search(text)).otherwise(let(part(size), search))
+        return F.when(F.coalesce(at_once, F.lit(False)), here).otherwise(let(part(F.lit(WINDOW)), near))
 
     def advance(state: Column) -> Column:
         def at_marker(hit: Column) -> Column:
@@ -98,12 +105,9 @@ def segment_array(content) -> Column:
         (F.length(c) <= 2).alias("done"),
         F.array(soi).cast(SEGMENT_TYPE).alias("segs"),
     )
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
-        start,
-        lambda state, _: F.when(state["done"], state).otherwise(advance(state)),
-        lambda state: state["segs"],
-    )
+    step = lambda state, _: F.when(state["done"], state).otherwise(advance(state))
+    stretch = lambda state, _: F.when(state["done"], state).otherwise(F.aggregate(steps, state, step))
+    walked = F.aggregate(steps, start, stretch, lambda state: state["segs"])
     with_payload = F.transform(
         walked,
         lambda s: F.struct(
@@ -402,3 +406,12 @@ def xmp_orientation(payload) -> Column:
     text = F.decode(p, "ISO-8859-1")
     found = F.regexp_extract(text, XMP_ORIENTATION, 1)
     return F.when(starts_with(p, XMP_PREFIX) & (found != ""), F.right(found, F.lit(32)).cast("decimal(38,0)") % 256).cast("int")
+
+
+def xmp_digits(payload) -> Column:
+    """Where the digits of the XMP orientation stand in the payload, and how many there are; NULL if there are none."""
+    p = col(payload)
+    text = F.decode(p, "ISO-8859-1")
+    whole, found = F.regexp_extract(text, XMP_ORIENTATION, 0), F.regexp_extract(text, XMP_ORIENTATION, 1)
+    end = F.regexp_instr(text, F.lit(XMP_ORIENTATION)) - 1 + F.length(whole)
+    return F.when(starts_with(p, XMP_PREFIX) & (found != ""), F.struct((end - F.length(found)).alias("at"), F.length(found).alias("length")))

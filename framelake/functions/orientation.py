@@ -109,6 +109,14 @@ def patch_orientation(content, value_offset, big_endian) -> Column:
     return F.when(inside, F.overlay(c, one, at + 1, F.lit(2))).otherwise(c)
 
 
+def patch_xmp_orientation(content, offset, length) -> Column:
+    """Overwrite the digits of the XMP orientation in the file bytes (0-based offset) by a 1, with zeros before it if there are more."""
+    c, at, n = col(content), col(offset).cast("int"), col(length).cast("int")
+    digits = F.encode(F.lpad(F.lit("1"), n, "0"), "ISO-8859-1")
+    inside = (at >= 0) & (at + n <= F.length(c))
+    return F.when(inside, F.overlay(c, digits, at + 1, n)).otherwise(c)
+
+
 def needs_repair(subject_area, subject_location, focal_x, focal_y, has_thumbnail, orientation) -> Column:
     focal = col(focal_x).isNotNull() | col(focal_y).isNotNull()
     return (

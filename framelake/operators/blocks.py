@@ -20,7 +20,9 @@ PLAN_COLUMNS = ["transform", "width", "height", "ncomp", "max_h", "max_v", "h",
 
 
 def component_plan(plan: DataFrame, comps: DataFrame) -> DataFrame:
-    """One row per component of each planned image."""
+    """One row per component of each planned image; images whose ``refusal`` says why they are not transformed have none."""
+    if "refusal" in plan.columns:
+        plan = plan.filter("refusal IS NULL")
     return plan.join(comps.select("image_id", "ci", "h", "v"), "image_id")
 
 
@@ -125,8 +127,11 @@ def rotate_blocks(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     """Run each image's planned transform on its blocks, the crop last.
 
     ``plan``: one row per component, ``image_id, ci, h, v, transform, width, height, ncomp, max_h, max_v, out_w,
-    out_h, x_off, y_off``. After the band join this is one projection and one filter.
+    out_h, x_off, y_off``, and ``refusal`` if known: refused images give no blocks. After the band join this is one
+    projection and one filter.
     """
+    if "refusal" in plan.columns:
+        plan = plan.filter("refusal IS NULL").drop("refusal")
     joined = with_plan(blocks, plan)
     return crop(_placed(joined, F.col("transform")), F.col("transform")).select(*blocks.columns)
 

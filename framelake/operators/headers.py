@@ -139,11 +139,28 @@ def infer_colorspace(ncomp, ids, saw_jfif, adobe_transform) -> Column:
     )
 
 
-def image_headers(images: DataFrame) -> DataFrame:
+def _listed_tags(lead: Column) -> Column:
+    """The tags of all EXIF segments of ``_segs`` as one array. ``lead``: where the first saved segment starts."""
+    numbered = F.transform("_segs", lambda s, i: F.struct(i.alias("seq"), s["offset"].alias("offset"), s["marker"].alias("marker"), s["payload"].alias("payload")))
+    exif = F.filter(numbered, lambda s: (s["marker"] == fixed.APP1) & starts_with(s["payload"], h.EXIF_PREFIX))
+
+    def rows(s: Column) -> Column:
+        def row(t: Column) -> Column:
+            same = [t[c].alias(c) for c in ("ifd", "tag", "type", "count")]
+            return F.struct(s["seq"].alias("seq"), *same, (t["value_offset"] + s["offset"] + 4).alias("value_offset"), t["values"].alias("values"), (s["offset"] == lead).alias("leads"))
+
+        return F.transform(h.exif_array(s["payload"]), row)
+
+    return F.flatten(F.filter(F.transform(exif, rows), lambda t: t.isNotNull()))
+
+
+def image_headers(images: DataFrame, tags: bool = False) -> DataFrame:
     """One row per image straight from the bytes, with no shuffle: frame, orientations, colour space.
 
     Feeds the rotation plan: ``image_id, width, height, ncomp, max_h, max_v, exif_orientation, xmp_orientation,
-    orientation_offset, big_endian, color_space, has_exif_first`` (NULL sizes if there is no usable frame).
+    orientation_offset, big_endian, color_space, has_exif_first, xmp_offset, xmp_length`` (NULL sizes if there is no usable
+    frame; the last two say where the digits of the XMP orientation stand in the file). With ``tags`` also ``exif_tags``, the
+    rows of the table of that name as an array; ``leads`` marks those of a segment that is the first saved one.
     """
     extra = [c for c in images.columns if c not in ("content", "image_id")]
     files = images.filter(starts_with("content", b"\xff\xd8"))
@@ -158,12 +175,13 @@ def image_headers(images: DataFrame) -> DataFrame:
         )
 
     adobes = F.transform(F.filter("_segs", lambda s: s["marker"] == fixed.APP14), lambda s: h.adobe(s["payload"]))
+    lead = F.get(F.filter("_segs", lambda s: _saved(s["marker"])), F.lit(0))
     parts = seg.select(
         "image_id", *extra,
-        first(*fixed.SUPPORTED_SOF).alias("_sof"), app1(h.EXIF_PREFIX).alias("_exif"), app1(h.XMP_PREFIX).alias("_xmp"),
-        F.get(F.filter("_segs", lambda s: _saved(s["marker"])), F.lit(0)).alias("_first"),
+        first(*fixed.SUPPORTED_SOF).alias("_sof"), app1(h.EXIF_PREFIX).alias("_exif"), app1(h.XMP_PREFIX).alias("_xmp"), lead.alias("_first"),
         F.exists("_segs", lambda s: (s["marker"] == fixed.APP0) & (h.jfif(s["payload"])["kind"] == "jfif")).alias("_jfif"),
         F.get(F.filter(adobes, lambda a: a.isNotNull()), F.lit(0))["transform"].alias("_adobe"),
+        *([_listed_tags(lead["offset"]).alias("exif_tags")] if tags else []),
     )
     decoded = parts.select(
         "*", h.sof("_sof.marker", "_sof.payload").alias("_f"), h.exif_array("_exif.payload").alias("_tags")
@@ -181,6 +199,9 @@ def image_headers(images: DataFrame) -> DataFrame:
         infer_colorspace("_f.ncomp", ids, "_jfif", "_adobe")["space"].alias("color_space"),
         F.coalesce((F.col("_first.marker") == fixed.APP1) & starts_with("_first.payload", h.EXIF_PREFIX), F.lit(False))
         .alias("has_exif_first"),
+        (h.xmp_digits("_xmp.payload")["at"] + F.col("_xmp.offset") + 4).alias("xmp_offset"),
+        h.xmp_digits("_xmp.payload")["length"].alias("xmp_length"),
+        *([F.col("exif_tags")] if tags else []),
     )
     # A one-row generator: later filters on these columns stop here instead of repeating the walk below it.
     return decoded.select("image_id", *extra, F.inline_outer(F.array(row)))

@@ -34,13 +34,14 @@ def attach(rows: DataFrame, side: DataFrame, band: Column, keys: list[str] | Non
 
 
 def samples_to_blocks(samples: DataFrame) -> DataFrame:
-    """Pack complete 8 x 8 blocks (pad edges first): 64 rows per group by construction."""
+    """Pack 8 x 8 blocks (pad edges first): 64 rows per group by construction. A sample that is missing is NULL in its place."""
     keyed = samples.select(
         *PLANE, idiv("y", 8).cast("int").alias("by"), idiv("x", 8).cast("int").alias("bx"),
         F.struct((F.col("y") % 8 * 8 + F.col("x") % 8).cast("int").alias("i"), F.col("v").alias("v")).alias("_s"),
     )
-    packed = keyed.groupBy(*PLANE, "by", "bx").agg(F.array_sort(F.collect_list("_s")).alias("_l"))
-    return packed.select(*PLANE, "by", "bx", F.transform("_l", lambda s: s["v"]).alias("s"))
+    packed = keyed.groupBy(*PLANE, "by", "bx").agg(F.map_from_entries(F.collect_list("_s")).alias("_m"))
+    places = F.sequence(F.lit(0), F.lit(63))
+    return packed.select(*PLANE, "by", "bx", F.transform(places, lambda i: F.try_element_at("_m", i)).alias("s"))
 
 
 def blocks_to_samples(blocks: DataFrame, values: str = "s", nx: int = 8, ny: int = 8) -> DataFrame:
@@ -179,7 +180,7 @@ def upsample_to_rgb(samples: DataFrame, h: int = 2, v: int = 2) -> DataFrame:
         .groupBy("image_id", F.col("y").cast("int").alias("_cy"), F.col("x").cast("int").alias("_cx"))
         .agg(pick(1, "_cb"), pick(2, "_cr"))
     )
-    j = luma.join(chroma, ["image_id", "_cy", "_cx"])
+    j = luma.join(chroma, ["image_id", "_cy", "_cx"], "left").fillna(128, ["_cb", "_cr"])  # images without chroma are gray
     return j.select("image_id", "y", "x", color.ycc_to_rgb("_y", "_cb", "_cr").alias("_c")).select("image_id", "y", "x", "_c.*")
 
 

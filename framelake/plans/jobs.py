@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import orientation as o
 from ..functions.exprs import col
 from ..operators import audit, blocks, catalog, headers, metadata, palette, samples, symbols
-from ..session import checkpoint_dir
 from ..sources.files import scan_images
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table that several branches read, and read it back: the work before it runs once and survives the loss
-    of executors. It goes to the shared folder of the session."""
-    path = f"{checkpoint_dir(df.sparkSession)}/framelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rotation_plan(images: DataFrame, trim: bool = True) -> DataFrame:
     """Plan of every rotatable image straight from file bytes: one scan, no shuffle.
 
@@ -38,26 +27,36 @@ def plan_folder(spark: SparkSession, folder: str, trim: bool = True) -> DataFram
     return rotation_plan(scan_images(spark, folder), trim)
 
 
+TAG_COLUMNS = ["image_id", "seq", "ifd", "tag", "type", "count", "value_offset", "values"]
+
+
+def _planned(images: DataFrame, trim: bool) -> DataFrame:
+    """Headers, tags and plan of every image that rotates and is not refused, one row each."""
+    if "read_only" not in images.columns:
+        images = images.withColumn("read_only", F.lit(False))
+    known = headers.image_headers(images, tags=True).filter("width IS NOT NULL AND max_h IS NOT NULL")
+    return catalog.rotation_plan(known.withColumn("trim", F.lit(trim))).filter("refusal IS NULL")
+
+
 def metadata_repair(images: DataFrame, trim: bool = True) -> DataFrame:
-    """Corrected tags of every image that rotates. The header segments are stored once, for plan and tags."""
-    plan = stored(rotation_plan(images, trim).select("image_id", "orientation", "width", "height", "out_w", "out_h", "refusal"), "plan")
-    tags = headers.exif_tags(headers.segments(images.select("image_id", "content")))
-    return metadata.metadata_repair(plan.filter("refusal IS NULL"), tags)
+    """Corrected tags of every image that rotates: one scan, one walk of each file's headers, no shuffle."""
+    plan = _planned(images, trim).select("image_id", "orientation", *metadata.PLAN, F.inline_outer("exif_tags")).filter("tag IS NOT NULL")
+    return metadata.repaired(plan).select(*TAG_COLUMNS)
 
 
 def upright_files(images: DataFrame) -> DataFrame:
-    """File bytes with the orientation tag reset in place, for images that need no other change."""
+    """File bytes with the recorded orientation, EXIF and XMP, set to upright in place."""
     kept = images.withColumn("_raw", F.col("content"))
     found = headers.image_headers(kept)
     reset = F.when(col("exif_orientation") != 0, o.patch_orientation("_raw", "orientation_offset", "big_endian"))
-    return found.select("image_id", F.coalesce(reset, F.col("_raw")).alias("content"))
+    whole = F.coalesce(reset, F.col("_raw"))
+    xmp = F.when(col("xmp_orientation") != 0, o.patch_xmp_orientation("_whole", "xmp_offset", "xmp_length"))
+    return found.withColumn("_whole", whole).select("image_id", F.coalesce(xmp, F.col("_whole")).alias("content"))
 
 
 def corpus_audit(images: DataFrame) -> DataFrame:
-    """All findings over a folder of files. The files are read once; the audit runs on the stored header segments."""
-    segs = stored(headers.segments(images.select("image_id", "content")), "segments")
-    good, bad = catalog.split_jpeg(images.select("image_id", "content"))
-    return audit.all_issues(audit.corpus_audit(segs), audit.as_issues(bad.select("image_id"), "not_jpeg", "error"))
+    """All findings over a folder of files: one scan, one walk of each file's headers, no shuffle."""
+    return audit.file_audit(images.select("image_id", "content"))
 
 
 rotate_blocks = blocks.rotate_blocks

@@ -24,9 +24,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where none is set, as in tests."""
+    """Shared folder the cluster names. A temporary one is set only in a session of one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="framelake-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -23,7 +23,7 @@ def test_scan_by_extension(spark, jpegs):
 
 def test_headers_of_real_files(spark, jpegs):
     folder, made = jpegs
-    segs = jobs.stored(headers.segments(fl.scan_images(spark, folder).select("image_id", "content")), "test")
+    segs = headers.segments(fl.scan_images(spark, folder).select("image_id", "content")).cache()
     name = F.element_at(F.split("image_id", "/"), -1)
     sizes = {r.n: (r.width, r.height, r.ncomp) for r in headers.frames(segs).withColumn("n", name).collect()}
     assert sizes == {n: (*wh, 3) for n, wh in made.items()}
@@ -52,6 +52,7 @@ def test_pixels(spark, jpegs):
     px = fl.pixels(spark, folder).withColumn("n", F.element_at(F.split("image_id", "/"), -1))
     counts = {r.n: r["count"] for r in px.groupBy("n").count().collect()}
     assert counts == {n: w * h for n, (w, h) in made.items()}
+    assert [r.image_id.split("/")[-1] for r in fl.undecodable(spark, folder).collect()] == ["fake.jpg"]
     red = px.filter("n = 'a.jpg' AND x = 30 AND y = 2").first()
     assert abs(red.r - 150) < 40 and red.y == 2
 
@@ -86,13 +87,59 @@ def test_truncated_and_odd_bytes(spark):
     }
 
 
+def test_long_gaps_and_big_files(spark):
+    """A gap longer than the search window, and bytes behind the scan header, which the walk never reads."""
+    junk = b"\x00\xab" * 5000
+    tail = b"\xff\xc4\x00\x02" * 200_000
+    rows = [(1, bytearray(b"\xff\xd8" + junk + b"\xff\xfe\x00\x03a\xff\xda\x00\x02" + tail)), (2, bytearray(b"\xff\xd8" + junk))]
+    segs = headers.segments(spark.createDataFrame(rows, "image_id int, content binary"))
+    got = [(r.image_id, r.marker, r.discarded) for r in segs.orderBy("image_id", "seq").collect()]
+    assert got == [(1, 0xD8, 0), (1, 0xFE, len(junk)), (1, 0xDA, 0), (2, 0xD8, 0)]
+
+
+def test_many_segments(spark):
+    """More segments than the inner fold has steps."""
+    content = b"\xff\xd8" + b"\xff\xfe\x00\x02" * 3000 + b"\xff\xd9"
+    segs = headers.segments(spark.createDataFrame([(1, bytearray(content))], "image_id int, content binary"))
+    assert segs.count() == 3002
+
+
+def test_upright_files_reset_both_records(spark):
+    def app1(body):
+        return b"\xff\xe1" + (len(body) + 2).to_bytes(2, "big") + body
+
+    xmp = b"http://ns.adobe.com/xap/1.0/\0<x tiff:Orientation=\"06\"/>"
+    tiff = b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01\0\x06\0\0\0\0\0\0"
+    sof = b"\xff\xc0\0\x0b\x08\0\x10\0\x10\x01\x01\x11\0\xff\xda\0\x08\x01\x01\0\0\x3f\0"
+    rows = [(1, bytearray(b"\xff\xd8" + app1(xmp) + sof)), (2, bytearray(b"\xff\xd8" + app1(tiff) + app1(xmp) + sof)), (3, bytearray(b"\xff\xd8" + sof))]
+    images = spark.createDataFrame(rows, "image_id int, content binary")
+    got = {r.image_id: bytes(r.content) for r in jobs.upright_files(images).collect()}
+    want = {i: bytes(c).replace(b'"06"', b'"01"').replace(b"\0\x01\0\x06", b"\0\x01\0\x01") for i, c in rows}
+    assert got == want
+    heads = headers.image_headers(images.sparkSession.createDataFrame([(i, bytearray(c)) for i, c in got.items()], images.schema))
+    assert {(r.exif_orientation, r.xmp_orientation) for r in heads.collect()} == {(0, 1), (1, 1), (0, 0)}
+
+
+def test_file_audit_equals_the_table_audit(spark):
+    from checks.headers import files
+
+    images = files(spark, SF).select("image_id", "content")
+    by_file = jobs.corpus_audit(images)
+    plan = by_file._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the fixture's own repartition
+    by_table = audit.corpus_audit(headers.segments(images)).distinct()
+    other = by_file.filter("issue NOT IN ('not_jpeg', 'discarded_bytes', 'jfif_thumbnail')")
+    assert by_table.exceptAll(other).count() == 0 == other.exceptAll(by_table).count()
+    assert {r.issue for r in by_file.select("issue").distinct().collect()} >= {"not_jpeg", "discarded_bytes"}
+
+
 def test_blocks_table(spark, tmp_path):
     from checks.base import spark_fx
 
     blocks = spark_fx(spark, SF, "fx_blocks").select("image_id", "ci", "by", "bx", "coef")
     fl.write_blocks(blocks, str(tmp_path / "b"), 4)
     assert fl.read_blocks(spark, str(tmp_path / "b")).exceptAll(blocks).count() == 0
-    one = fl.read_blocks(spark, str(tmp_path / "b"), 7, 4)
+    one = fl.read_blocks(spark, str(tmp_path / "b"), 7)
     assert one.count() == 20 and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
 
 
@@ -100,6 +147,9 @@ def test_results_never_go_to_the_source(spark, tmp_path):
     df = spark.range(3)
     with pytest.raises(ValueError):
         fl.write_results(df, str(tmp_path / "in" / "out"), str(tmp_path / "in"))
+    for other in (f"file:{tmp_path}/in/out", f"file://{tmp_path}/x/../in/out", str(tmp_path)):
+        with pytest.raises(ValueError):
+            fl.write_results(df, other, str(tmp_path / "in"))
     fl.write_results(df, str(tmp_path / "out"), str(tmp_path / "in"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
