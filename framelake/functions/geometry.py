@@ -153,6 +153,12 @@ def resolve_crop_axis(size, unit, extent, extent_state, offset, offset_state, tr
     return let(given, with_extent)
 
 
+def crop_status(parsed, ok_x, ok_y) -> Column:
+    """``bad_request`` (cannot be read), ``refused`` (does not fit the image) or ``ok``, so that no request is lost."""
+    fits = F.coalesce(col(ok_x) & col(ok_y), F.lit(False))
+    return F.when(col(parsed).isNull(), "bad_request").when(~fits, "refused").otherwise("ok")
+
+
 # --- scaling ---------------------------------------------------------------------------------------
 
 
