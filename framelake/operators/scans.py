@@ -50,10 +50,19 @@ def reduce_script(scans: DataFrame, limit: int, chunk: float = 65536) -> DataFra
     return numbered.withColumn("scan_no", (F.col("_n") - 1).cast("int")).select(*scans.columns)
 
 
-def _coefficients(scans: DataFrame) -> DataFrame:
-    """One row per component and coefficient that a scan sends."""
-    members = scans.withColumn("ci", F.explode("comps"))
-    return members.withColumn("coef", F.explode(F.when(F.col("se") >= F.col("ss"), F.sequence("ss", "se"))))
+def _ranges(scans: DataFrame) -> DataFrame:
+    """One row per component and stretch of coefficients, ``from`` to ``to``, that a scan sends.
+
+    The coefficients of a component are cut only where one of its scans starts or ends, so scans that overlap have whole
+    stretches in common. A component has at most 65 such places in a valid script.
+    """
+    members = scans.withColumn("ci", F.explode("comps")).filter(F.col("se") >= F.col("ss"))
+    ends = members.select("image_id", "ci", F.explode(F.array(F.col("ss"), F.col("se") + 1)).alias("_at"))
+    cuts = ends.groupBy("image_id", "ci").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+    within = F.filter("_cuts", lambda c: (c >= F.col("ss")) & (c <= F.col("se")))
+    after = lambda c: F.array_min(F.filter("_cuts", lambda d: d > c)) - 1
+    stretches = F.transform(within, lambda c: F.struct(c.alias("from"), after(c).alias("to")))
+    return members.join(cuts, ["image_id", "ci"]).select(*members.columns, F.inline(stretches))
 
 
 def script_violations(scans: DataFrame, chunk: float = 65536) -> DataFrame:
@@ -81,7 +90,7 @@ def script_violations(scans: DataFrame, chunk: float = 65536) -> DataFrame:
         .filter(F.col("_dc").isNull() | (F.col("_dc") > F.col("scan_no")))
         .select("image_id", "scan_no", F.lit("ac_before_dc").alias("issue"))
     )
-    seen = previous(_coefficients(scans), ["image_id", "ci", "coef"], ["scan_no"], {"al": "_al"}, chunk)
+    seen = previous(_ranges(scans), ["image_id", "ci", "from"], ["scan_no"], {"al": "_al"}, chunk)
     broken = F.when(F.col("_al").isNull(), ah != 0).otherwise((ah != F.col("_al")) | (al != ah - 1))
     bits = seen.filter(broken).select("image_id", "scan_no", F.lit("bad_bits").alias("issue"))
     return own.unionByName(early).unionByName(bits).distinct()
@@ -101,7 +110,8 @@ def coef_accuracy(scans: DataFrame, comps: DataFrame) -> DataFrame:
 
     The never-sent default joins the data as one more pass in front, so an aggregate does it without a join.
     """
-    sent = _coefficients(scans).select("image_id", "ci", "coef", "scan_no", "al")
+    last = _ranges(scans).groupBy("image_id", "ci", "from", "to").agg(F.max_by("al", "scan_no").alias("al"), F.max("scan_no").alias("scan_no"))
+    sent = last.select("image_id", "ci", F.explode(F.sequence("from", "to")).alias("coef"), "scan_no", "al")
     grid = comps.select(
         "image_id", "ci", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("coef"),
         F.lit(-1).alias("scan_no"), F.lit(-1).alias("al"),
