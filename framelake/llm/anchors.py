@@ -55,12 +55,15 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if width > span else h
 
 
-def units(symbols: np.ndarray, size: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Units of one text, a part at a time: (first window, number of windows, anchor name, unit name)."""
+def units(symbols: np.ndarray, size: int, k: int, signs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Units of one text, a part at a time: (first window, number of windows, anchor name, unit name).
+
+    ``signs`` gives the numbers that small symbols (bytes) stand for, so that only a part of the text is widened at a time.
+    """
     windows = len(symbols) - size + 1
     for at in range(0, windows, PIECE):
         here = symbols[at : at + PIECE + size - 1]
-        first, many, anchor, name = _units(here, size, k)
+        first, many, anchor, name = _units(here if signs is None else signs[here], size, k)
         yield first + at, many, anchor, name
 
 

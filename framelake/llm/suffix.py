@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .anchors import Rolling, byte_symbols, units
+from .anchors import SIGNS, Rolling, byte_symbols, units
 from .common import batch_of, by_rows
 
 V = 64
@@ -162,7 +162,7 @@ def _find(rows: DataFrame, size: int, k: int, volume: int, finish, ddl: str) ->
     def units_of(text: str):
         data = text.encode("utf-8", "replace")
         if len(data) >= size:
-            for at, n, anchor, name in units(byte_symbols(data), size, k):
+            for at, n, anchor, name in units(np.frombuffer(data, "u1"), size, k, SIGNS):
                 yield at, n, anchor, name
 
     def piece_of(text: str, marks: list) -> list[bytes]:
