@@ -1,10 +1,10 @@
 """Streams, stored tables, jobs."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from framelake.operators import catalog as c
 from framelake.operators import status as st
 from framelake.plans import jobs
 from framelake.session import checkpoint_dir
@@ -12,7 +12,7 @@ from framelake.sources import files as fl
 from framelake.streaming import live
 
 from .base import register, spark_fx, table
-from .catalog import EFF, PLAN, TRANSFORM
+from .catalog import EFF, PLAN, TRANSFORM, images
 from .headers import HAS_SOF, OK, files
 from .status import COUNTS, MESSAGE, STATE
 
@@ -68,6 +68,15 @@ def _(s, d):
     return fl.read_blocks(s, path).withColumnRenamed("by", "by_")
 
 
+@register("stored_results", "image_id orientation transform:s out_w out_h", PLAN + """
+SELECT image_id, o AS orientation, transform, out_w, out_h FROM p WHERE o BETWEEN 2 AND 8""")
+def _(s, d):
+    path = place(s, "results")
+    plan = c.rotation_plan(images(s, d))
+    fl.write_results(plan.select("image_id", "orientation", "transform", "out_w", "out_h"), path, d)
+    return s.read.parquet(path)
+
+
 # --- jobs from file bytes ----------------------------------------------------------------------------------
 
 FILE_PLAN = PLAN.replace("FROM fx_images", f"""FROM (SELECT image_id, width, height, h0, v0, ncomp, read_only, TRUE AS trim_ok,
