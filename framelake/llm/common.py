@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,6 +51,19 @@ def one_thread() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
+MEMOS: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Drop what earlier tasks left in this worker process, which Spark uses again: remembered words, and freed memory not given back."""
+    for memo in list(MEMOS):
+        memo.known = {}
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Memo:
     """Values of words, for a bounded number of them. ``make`` computes the values of a list of unknown words.
 
@@ -56,6 +72,7 @@ class Memo:
 
     def __init__(self, make: Callable[[list[str]], list], limit: int = 600_000):
         self.make, self.limit, self.known = make, limit, {}
+        MEMOS.add(self)
 
     def fill(self, lists: list[list[str]]) -> dict:
         """The values of at least all words of the lists."""

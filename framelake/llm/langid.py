@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_rows
+from .common import by_rows, forget
 
 UNKNOWN = "und"
 BLANK = 32
@@ -151,6 +151,7 @@ def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     place = docs.columns.index(text)
 
     def run(batches):
+        forget()
         for batch in by_rows(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import PIECE, SIGNS, _mix
-from .common import LOWER, UPPER, batch_of, by_rows, stored
+from .common import LOWER, UPPER, batch_of, by_rows, forget, stored
 from .components import components
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -183,6 +183,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links within canopies; the rows (canopy, pair of blocks, sid, text) come sorted by the first two."""
+    forget()
     group, sets = None, {}
 
     def links():
@@ -213,10 +214,11 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     least = max(64.0, often * total)
 
     def described(batches):
-        for batch in batches:
+        forget()
+        for batch in by_rows(batches, 4096):
             sets = [tokens(t, words) for t in batch.column(2).to_pylist()]
             yield batch_of(TOLD, batch.column(0), batch.column(1), [len(s) for s in sets], [set_id(s) for s in sets], pa.nulls(len(sets), pa.int64()))
-            # A token of the frequent class has its share of the rows in some batch.
+            # A token of the frequent class has its share of the rows in some slice.
             found, times = np.unique(np.concatenate([np.zeros(0, "u8"), *sets]), return_counts=True)
             some = times * total >= least * batch.num_rows
             none = pa.nulls(int(some.sum()), pa.int64())
@@ -228,6 +230,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     told = told.filter("token IS NULL").select("doc", "h", "n", "sid")
 
     def keyed(batches):
+        forget()
         for batch in by_rows(batches, 1024):
             parts: dict[int, tuple] = {}
             for t in batch.column(1).to_pylist():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, by_rows, stored
+from .common import batch_of, by_rows, forget, stored
 
 NO_ID = -(2**63)
 UNITS = pa.schema([("anchor", pa.int64()), ("name", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int16()), ("again", pa.bool_())])
@@ -35,13 +35,14 @@ def own_id() -> F.Column:
 
 
 def unit_rows(rows: DataFrame, units_of: Callable[[str], Iterator[tuple]], by_doc: bool) -> DataFrame:
-    """Units of all texts. Copies of a unit within a batch are settled on the spot (``again``): all but those of the smallest
+    """Units of all texts. Copies of a unit within a slice of rows are settled on the spot (``again``): all but those of the smallest
     ``doc``, or without ``by_doc`` all. Of these, only those of the smallest document (one of them without ``by_doc``) compete under
-    their name, so a hot name has few rows for each batch; the others are dealt by their text instead.
+    their name, so a hot name has few rows for each slice; the others are dealt by their text instead.
     """
 
     def run(batches):
-        for batch in batches:
+        forget()
+        for batch in by_rows(batches, 2048):
             docs, tags, cols = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 for at, n, anchor, name in units_of(text or ""):
@@ -99,6 +100,7 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
     asked = marks.filter("anchor IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("marks"))
 
     def fetch(batches):
+        forget()
         for batch in by_rows(batches, 64):
             cols = ([], [], [], [], [], [])
             for doc, tag, text, todo in zip(*(c.to_pylist() for c in batch.columns)):
