@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 CHUNK = 65536
 
 
-def _chunk(order: Column, width: float) -> Column:
+def row_cuts(df: DataFrame, order: str, rows: int = 1 << 20, most: int = 256) -> list[float]:
+    """Values of a numeric column that cut the table into parts of about ``rows`` rows, at most ``most`` parts. Two scans of it."""
+    parts = min(most, -(-df.count() // rows))
+    return sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
+
+
+def _chunk(order: Column, width: float | Column) -> Column:
+    """The chunk of a row: by a width of the order, or as given."""
+    if isinstance(width, Column):
+        return width
     return F.floor(order.cast("double") / F.lit(float(width))).cast("bigint")
 
 
@@ -22,7 +31,7 @@ def previous(
     keys: list[str],
     order: list[str],
     columns: dict[str, str],
-    chunk: float = CHUNK,
+    chunk: float | Column = CHUNK,
 ) -> DataFrame:
     """Add, per key in the given order, the value of each column on the row before (NULL on the first).
 
@@ -48,7 +57,7 @@ def running_sum(
     keys: list[str],
     order: list[str],
     columns: dict[str, str],
-    chunk: float = CHUNK,
+    chunk: float | Column = CHUNK,
 ) -> DataFrame:
     """Add, per key, the running total of each column up to and including the row. The order must be unique."""
     cut = df.withColumn("_chunk", _chunk(F.col(order[0]), chunk))
@@ -74,7 +83,7 @@ def last_known(
     keys: list[str],
     order: list[str],
     columns: dict[str, str],
-    chunk: float = CHUNK,
+    chunk: float | Column = CHUNK,
 ) -> DataFrame:
     """Add, per key, the last non-NULL value of each column up to and including the row (an as-of lookup)."""
     cut = df.withColumn("_chunk", _chunk(F.col(order[0]), chunk))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .ordered import running_sum
+from .ordered import row_cuts, running_sum
 
 # Event names of the log, in counter order.
 EVENTS = ("selected", "analysed", "to_be_rotated", "rotated", "errored")
@@ -73,9 +73,16 @@ def telemetry(run_log: DataFrame) -> DataFrame:
 
 
 def progress(run_log: DataFrame, chunk_seconds: float = 86400.0) -> DataFrame:
-    """Counters after each event of each run, in time order (ties by image)."""
+    """Counters after each event of each run, in time order (ties by image).
+
+    A window runs over a run's events of one stretch of ``chunk_seconds``, cut further where the log is dense, so that a run
+    with one busy day is spread as well.
+    """
     log = run_log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     for e in EVENTS:
         log = log.withColumn(f"_is_{e}", (F.col("event") == e).cast("bigint"))
-    out = running_sum(log, ["run_id"], ["_at", "image_id"], {f"_is_{e}": e for e in EVENTS}, chunk_seconds)
+    cuts = F.array(*map(F.lit, row_cuts(log, "_at"))).cast("array<double>")
+    dense = F.size(F.filter(cuts, lambda cut: cut <= F.col("_at")))
+    chunk = F.struct(F.floor(F.col("_at") / chunk_seconds).alias("at"), dense.alias("part"))
+    out = running_sum(log, ["run_id"], ["_at", "image_id"], {f"_is_{e}": e for e in EVENTS}, chunk)
     return out.select(*run_log.columns, *EVENTS)

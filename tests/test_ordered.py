@@ -4,7 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from framelake.operators.ordered import last_known, previous, running_sum
+from framelake.operators.ordered import last_known, previous, row_cuts, running_sum
+from framelake.operators.status import progress
 
 rows = st.lists(
     st.tuples(st.integers(0, 2), st.integers(0, 40), st.one_of(st.none(), st.integers(-9, 9))),
@@ -43,3 +44,14 @@ def test_last_known(spark, data, chunk):
         for at, v in items:
             last = v if v is not None else last
             assert got[k, at] == last
+
+
+def test_one_run_in_one_day_is_many_chunks(spark):
+    log = spark.range(4000).selectExpr("1L AS run_id", "id AS image_id", "timestamp_seconds(1700000000 + id div 100) AS ts", "IF(id % 3 = 0, 'selected', 'analysed') AS event")
+    timed = log.selectExpr("unix_micros(ts) / 1e6 AS at")
+    cuts = row_cuts(timed, "at", rows=500)
+    assert 6 <= len(cuts) <= 8
+    parts = timed.selectExpr(f"size(filter(array({', '.join(map(str, cuts))}), c -> c <= at)) AS part").groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 800
+    last = progress(log).orderBy("image_id").tail(1)[0]
+    assert (last.selected, last.analysed) == (1334, 2666)
