@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,7 +240,10 @@ def canonical_codes(htables: DataFrame) -> DataFrame:
 
 
 def _code_lengths(symbols: list[int], counts: list[int]) -> dict[int, int]:
-    """Length-limited prefix code of at most 16 bits with the all-ones code left free."""
+    """Length-limited prefix code of at most 16 bits with the all-ones code left free.
+
+    Results must equal those of the published procedure (ITU-T T.81, annex K.2), whose way of shortening is kept.
+    """
     reserved = 256
     heap = [(n, -s) for s, n in zip(symbols, counts) if n > 0] + [(1, -reserved)]
     members = {-key: [-key] for _, key in heap}
@@ -272,23 +275,25 @@ def _code_lengths(symbols: list[int], counts: list[int]) -> dict[int, int]:
 def optimal_lengths(counts: DataFrame) -> DataFrame:
     """Best code lengths per image and table from symbol counts, which stay on the rows.
 
-    The groups are aggregated counts, at most 256 rows each whatever the size of the image, so they can go to pandas.
+    The counts of a table, at most 256, become one array; Python then works through batches of tables, not through one
+    group at a time.
     """
+    id_type = counts.schema["image_id"].dataType.simpleString()
+    slim = counts.filter("n > 0").select("image_id", F.col("class").cast("int"), F.col("slot").cast("int"), F.struct(F.col("symbol").cast("int").alias("symbol"), F.col("n").cast("bigint").alias("n")).alias("s"))
+    tables = slim.groupBy("image_id", "class", "slot").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    tables = tables.select("image_id", "class", "slot", "s.symbol", "s.n")
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        lengths = _code_lengths(group["symbol"].tolist(), group["n"].tolist())
-        out = group.copy()
-        out["length"] = out["symbol"].map(lengths).fillna(0).astype("int32")
-        return out[out["length"] > 0]
+    def best(batches):
+        for batch in batches:
+            lengths = []
+            for symbols, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                found = _code_lengths(symbols, n)
+                lengths.append([found[s] for s in symbols])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths, pa.list_(pa.int32()))], names=[*batch.schema.names, "length"])
 
-    id_type = counts.schema["image_id"].dataType.simpleString()
-    slim = counts.select(
-        "image_id", F.col("class").cast("int"), F.col("slot").cast("int"),
-        F.col("symbol").cast("int"), F.col("n").cast("bigint"),
-    )
-    return slim.groupBy("image_id", "class", "slot").applyInPandas(
-        best, f"image_id {id_type}, class int, slot int, symbol int, n bigint, length int"
-    )
+    entries = F.transform("symbol", lambda x, i: F.struct(x.alias("symbol"), F.get("n", i).alias("n"), F.get("length", i).alias("length")))
+    coded = tables.mapInArrow(best, f"image_id {id_type}, class int, slot int, symbol array<int>, n array<bigint>, length array<int>")
+    return coded.select("image_id", "class", "slot", F.inline(entries))
 
 
 def table_symbols(lengths: DataFrame) -> DataFrame:
@@ -322,11 +327,11 @@ def extra_bits(symbol, progressive_ac: bool = False) -> Column:
 def coded_size(counts: DataFrame, lengths: DataFrame, progressive_ac: bool = False) -> DataFrame:
     """Bits per image under a set of code lengths; ``uncodable`` counts symbols the tables lack.
 
-    ``lengths`` is keyed by ``class, slot, symbol`` (one fixed table set, broadcast) or by image as well.
+    ``lengths`` is keyed by ``class, slot, symbol`` (one table set) or by image as well. Whether it is small enough to be sent to
+    all tasks is left to the optimizer, which knows its size.
     """
     keys = [k for k in ("image_id", "class", "slot", "symbol") if k in lengths.columns]
-    side = lengths if "image_id" in keys else F.broadcast(lengths)
-    j = counts.join(side, keys, "left")
+    j = counts.join(lengths, keys, "left")
     bits = F.col("n") * (F.col("length") + extra_bits("symbol", progressive_ac))
     return j.groupBy("image_id").agg(
         F.coalesce(F.sum(bits), F.lit(0)).alias("bits"),
