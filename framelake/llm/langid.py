@@ -86,6 +86,8 @@ def bundles(texts: list[str], dim: int) -> np.ndarray:
     texts = [t.lower().replace("\x00", " ") for t in texts]
     for lo, hi, chars in parts(texts):
         points = np.frombuffer(chars.encode("utf-32-le", "replace"), "<u4")
+        if not len(points):  # one empty text, or nothing left beyond the last cut
+            continue
         owner = np.cumsum(points == 0) if hi - lo > 1 else np.zeros(len(points), "i8")
         signs = letter_table()[points]
         # A blank before and after, and none that follows another.

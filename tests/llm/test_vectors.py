@@ -109,6 +109,21 @@ def test_long_texts_bundle_as_a_whole(monkeypatch):
     assert (langid.bundles([text, "x"], 256) == whole).all()
 
 
+def test_parts_without_characters(spark, monkeypatch):
+    long = "la vie en rose " * 40_000
+    letters = "x" * 600_000
+    for texts in ([""], ["", long], [letters], ["", letters, ""], [long, "", letters]):
+        got = langid.bundles(texts, 64)
+        with monkeypatch.context() as m:
+            m.setattr(langid, "PIECE", 1 << 24)
+            want = [langid.bundles([t, "1"], 64)[0] for t in texts]
+        assert (got == np.array(want)).all()
+    known = langid.fit(plain.docs(spark))
+    for alone in (None, ""):
+        one = spark.createDataFrame([(1, alone)], "doc_id long, text string")
+        assert [tuple(r) for r in langid.predict(one, known).select("doc_id", "lang_pred", "score").collect()] == [(1, "und", 0.0)]
+
+
 URLS = [
     None, "", "no scheme", "http://a.ORG", "http://a.org/", "https://Example.org/en/1x?y#z", "http://www.example.org/es/", "http://myexample.org/es/", "http://x.com/fr/1",
     "http://x.com/FR/1", "http://com/de/2", "http://x.com?de/", "http://www.cheap-pills.com/de/1", "http://casino.net/", "http://mycasino.net/", "a://b://c.org/x", "http://é.org/é\nx", "http://free-bets.net#a",
