@@ -79,6 +79,33 @@ def _(s, d):
     return bl.crop_extend(rows.withColumns(extra), plan).withColumnRenamed("by", "by_")
 
 
+# All images of both kinds, a third of each larger in x, in y and in both; an axis that doesn't grow is cut at the offset (whole units).
+# Sizes in blocks: 8 x 8 units for one component; 16 x 16 units with h x v blocks of a component for three.
+_GROW = {"gx": "key % 3 <> 1", "gy": "key % 3 <> 0", "off_x": "CASE WHEN ncomp = 1 THEN 1 + key % 3 ELSE key % 2 END", "off_y": "CASE WHEN ncomp = 1 THEN key % 3 ELSE (key + 1) % 2 END"}
+_GROW_W = "CASE WHEN gx THEN 50 + key % 40 WHEN ncomp = 1 THEN 12 ELSE 13 END"
+_GROW_H = "CASE WHEN gy THEN 45 + key % 30 WHEN ncomp = 1 THEN 9 ELSE 11 END"
+
+
+@register("block_crop_extend_all", "image_id ci by_ bx coef:a", f"""
+WITH comps AS (SELECT DISTINCT image_id, ci, h, v, ncomp, 8 * max_h AS uw, 8 * max_v AS uh, image_id % 1000000 AS key, width // (8 * max_h) * h AS mc, height // (8 * max_v) * v AS mr FROM fx_planned),
+asked AS (SELECT *, {_GROW['gx']} AS gx, {_GROW['gy']} AS gy, ({_GROW['off_x']}) * h AS ox, ({_GROW['off_y']}) * v AS oy FROM comps),
+sized AS (SELECT *, (({_GROW_W}) * h + uw - 1) // uw AS wide, (({_GROW_H}) * v + uh - 1) // uh AS high FROM asked),
+col AS (SELECT *, unnest(range(wide)) AS bx FROM sized),
+grid AS (SELECT *, unnest(range(high)) AS by_ FROM col),
+moved AS (SELECT *, CASE WHEN gx THEN bx - ox ELSE bx + ox END AS sx, CASE WHEN gy THEN by_ - oy ELSE by_ + oy END AS sy FROM grid),
+kept AS (SELECT *, (NOT gx OR (sx >= 0 AND sx < mc)) AND (NOT gy OR (sy >= 0 AND sy < mr)) AS source FROM moved)
+SELECT g.image_id, g.ci, g.by_, g.bx, CASE WHEN source THEN s.coef ELSE list_transform(range(64), lambda i: CAST(0 AS INT)) END AS coef
+FROM kept g LEFT JOIN fx_planned s ON s.image_id = g.image_id AND s.ci = g.ci AND s.by_ = g.sy AND s.bx = g.sx WHERE NOT source OR s.coef IS NOT NULL""")
+def _(s, d):
+    def asked(t):
+        t = t.withColumn("key", F.col("image_id") % 1000000)
+        t = t.withColumns({n: F.expr(e) for n, e in _GROW.items()})
+        return t.withColumns({"x_off": F.col("off_x"), "y_off": F.col("off_y"), "out_w": F.expr(_GROW_W), "out_h": F.expr(_GROW_H)})
+
+    rows = planned(s, d)
+    return bl.crop_extend(asked(rows), asked(rows.drop("by", "bx", "coef").distinct())).withColumnRenamed("by", "by_")
+
+
 _CASES = list(RULES)
 PLANNED_AS = "CASE image_id % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_CASES)) + " END"
 ROTATED = "WITH " + ", ".join(f"src_{t} AS (SELECT * FROM fx_planned WHERE image_id % 7 = {i})" for i, t in enumerate(_CASES)) + ", rot AS (" + \
