@@ -26,8 +26,7 @@ UNITS_DDL = "anchor long, name long, doc long, tag long, at int, n short, again
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """``doc, tag, text`` and further columns: the id (a fixed number for none) and a hash that tells rows of one id apart."""
     text = F.col("text").cast("string")
-    tag = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.hash(text))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"), *more)
 
 
 def own_id() -> F.Column:
@@ -37,7 +36,8 @@ def own_id() -> F.Column:
 def unit_rows(rows: DataFrame, units_of: Callable[[str], Iterator[tuple]], by_doc: bool) -> DataFrame:
     """Units of all texts. Copies of a unit within a slice of rows are settled on the spot (``again``): all but those of the smallest
     ``doc``, or without ``by_doc`` all. Of these, only those of the smallest document (one of them without ``by_doc``) compete under
-    their name, so a hot name has few rows for each slice; the others are dealt by their text instead.
+    their name, so a hot name has few rows for each slice; the others are dealt by their text instead. Rows with one id and text get
+    the same results, so in a slice only the first of them gives rows.
     """
 
     def run(batches):
@@ -61,6 +61,10 @@ def unit_rows(rows: DataFrame, units_of: Callable[[str], Iterator[tuple]], by_do
                 again[order], spread[order] = np.bincount(group)[group] > 1, ~fresh
             anchor = np.where(spread, doc * 31 + at, anchor)
             name = np.where(spread, 0, name)
+            # Of the copies of a text under one id the first is at hand: where one of them competes, it does.
+            sole = np.zeros(len(docs), bool)
+            sole[np.unique(np.stack([docs, tags], axis=1), axis=0, return_index=True)[1]] = True
+            anchor, name, doc, row, at, n, again = (x[sole[row]] for x in (anchor, name, doc, row, at, n, again))
             for lo in range(0, len(at), 1 << 16):
                 s = slice(lo, lo + (1 << 16))
                 yield batch_of(UNITS, anchor[s], name[s], doc[s], tags[row[s]], at[s].astype("i4"), n[s].astype("i2"), again[s])
@@ -97,7 +101,8 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
     """
     marks = stored(mark(unit_rows(rows.select("doc", "tag", "text"), units_of, by_doc), by_doc), "marks")
     busy = stored(marks.filter("anchor IS NOT NULL").groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("busy")), "busy")
-    asked = marks.filter("anchor IS NOT NULL").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("marks"))
+    # Lists hold each unit of a text once, however many rows have the text; and one of these rows sends the units' symbols.
+    asked = marks.filter("anchor IS NOT NULL").distinct().groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n", "anchor")).alias("marks"))
 
     def fetch(batches):
         forget()
@@ -110,7 +115,7 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
             yield batch_of(PIECES, *cols)
 
     texts, more = rows, rows.columns[3:]
-    pieces = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(fetch, PIECES_DDL)
+    pieces = texts.groupBy("doc", "tag").agg(F.first("text").alias("text")).join(asked, ["doc", "tag"]).select("doc", "tag", "text", "marks").mapInArrow(fetch, PIECES_DDL)
     some_busy = not busy.isEmpty()
     plain = pieces.join(busy, "anchor", "left_anti").select(*PIECES.names) if some_busy else pieces
     found = plain.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(compare, SPANS_DDL)
@@ -131,7 +136,10 @@ def find(rows: DataFrame, units_of: Callable, piece_of: Callable, compare: Calla
         hits = windows.join(stored(told.filter("times > 1"), "windows"), ["anchor", "name"]).filter(hit)
         found = found.unionByName(hits.select("doc", "tag", "at", F.lit(1).cast("short").alias("n")))
     whole = marks.filter("anchor IS NULL").select("doc", "tag", "at", "n")
-    spans = whole.unionByName(found).groupBy("doc", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    span = F.collect_set(F.shiftleft(F.col("at").cast("long"), 16) + F.col("n"))
+    spans = whole.unionByName(found).groupBy("doc", "tag").agg(span.alias("_s")).select(
+        "doc", "tag", F.transform("_s", lambda s: F.shiftright(s, 16).cast("int")).alias("at"), F.transform("_s", lambda s: s.bitwiseAND(0xFFFF).cast("short")).alias("n")
+    )
     return texts.join(spans, ["doc", "tag"], "left").select(own_id().alias("doc_id"), "text", "at", "n", *more).mapInArrow(finish, out)
 
 

@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 
@@ -69,6 +71,35 @@ def test_word_repeats(spark, monkeypatch, most):
     assert rlz.digests(docs.limit(0)).count() == 0 and sum(w[2] for w in want) > 0
 
 
+@pytest.mark.parametrize("find", [suffix.digests, rlz.digests])
+def test_copies_under_one_id_are_gathered_once(spark, monkeypatch, tmp_path, find):
+    """Neither the spans of a text nor the symbols sent grow with the rows that have its id and text."""
+    say, inner = lambda a, b: " ".join(f"word{i}" for i in range(a, b)), spans.find
+
+    def noted(rows, units_of, piece_of, compare, names_of, finish, *a, **k):
+        def note(kind, f, size):
+            def run(batches):
+                batches = list(batches)
+                with open(tmp_path / f"{kind}-{uuid.uuid4().hex}", "w") as out:
+                    out.writelines(f"{x}\n" for b in batches for x in size(b))
+                yield from f(iter(batches))
+
+            return run
+
+        compare = note("piece", compare, lambda b: zip(*(c.to_pylist() for c in b.columns[:3])))
+        return inner(rows, units_of, piece_of, compare, names_of, note("spans", finish, lambda b: (len(x or ()) for x in b.column(2).to_pylist())), *a, **k)
+
+    monkeypatch.setattr(spans, "find", noted)
+    texts = [(1, say(0, 300)), (2, say(100, 250) + " " + say(1000, 1100)), *[(None, say(50, 350))] * 30, *[(7, say(60, 280))] * 30]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    rows = plain.rows_of(docs)
+    want = [w[:5] for w in plain.byte_repeats(rows)] if find is suffix.digests else plain.word_repeats(rows)
+    assert plain.ordered(find(docs).collect()) == plain.ordered(want)
+    told = lambda kind: [x for f in tmp_path.glob(f"{kind}-*") for x in f.read_text().splitlines()]
+    pieces, most = told("piece"), max(map(int, told("spans")))
+    assert pieces and len(pieces) == len(set(pieces)) and 0 < most < 150
+
+
 def test_parse_checks_windows_over_factor_boundaries():
     # Two stretches overlap by fewer words than a window: the window over the boundary is in neither.
     assert rlz.parse(np.array([0, 30]), np.array([60, 100]), 0, 51, 50) == [(0, 11), (30, 21)]
