@@ -205,7 +205,8 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.001, block_docs: int = 1024, block_tokens: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """What ``join`` and ``one_of_each`` build on: ``doc, h, n, sid`` of every row (``h``: a hash of the text), and ``sid, n,
-    component_id, doc, first`` of every token set that has a partner, where ``doc, first`` are the id and set of its class's first.
+    component_id, doc, first, text`` of every token set that has a partner, where ``doc, first, text`` are the id, the set and the text's
+    hash of its class's first.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("doc"), F.col("text").cast("string").alias("text"))
@@ -262,7 +263,7 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     canopies = components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
 
     # One document of each token set stands for it.
-    first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min("doc").alias("doc"), F.min(F.when(F.col("doc") > NO_ID, F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")), "first")
+    first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc", "h")).alias("own"), F.min(F.when(F.col("doc") > NO_ID, F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")).select("sid", "n", "own.*", "doc_id", "copies"), "first")
     member = stored(canopies.join(first, "sid"), "members")
     blocks = member.groupBy("canopy").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens)).alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
@@ -274,8 +275,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
 
     found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
     found = found.withColumn("root", F.coalesce("root", "sid"))
-    heads = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc", "sid")).alias("head"))
-    return told, stored(found.select("sid", "n", "root").join(heads, "root").select("sid", "n", "component_id", "head.doc", F.col("head.sid").alias("first")), "classes")
+    heads = found.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc", "sid", "h")).alias("head"))
+    return told, stored(found.select("sid", "n", "root").join(heads, "root").select("sid", "n", "component_id", "head.doc", F.col("head.sid").alias("first"), F.col("head.h").alias("text")), "classes")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFrame:
@@ -289,7 +290,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFr
     """
     told, found = classes(docs, words, percent, **limits)
     doc_id = F.when(F.col("doc") > NO_ID, F.col("doc"))
-    return told.join(found.drop("doc"), ["sid", "n"], "left").select(
+    return told.join(found.select("sid", "n", "component_id"), ["sid", "n"], "left").select(
         doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", doc_id).alias("component_id")
     )
 
@@ -297,11 +298,11 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFr
 def one_of_each(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each class that links make, the row with the smallest id stays.
 
-    Rows without an id count as smallest. Of equal rows one stays; rows without a word all stay. Same parameters as ``join``.
+    Rows without an id count as smallest. Of rows with that id one text stays, and of equal rows one; rows without a word all stay. Same parameters as ``join``.
     """
     told, found = classes(docs, words, percent, **limits)
     kept = told.join(found.withColumnRenamed("doc", "head"), ["sid", "n"], "left")
-    kept = kept.filter("head IS NULL OR (doc = head AND sid = first)").groupBy("doc", "h").agg(F.max("n").alias("n"))
+    kept = kept.filter("head IS NULL OR (doc = head AND sid = first AND h = text)").groupBy("doc", "h").agg(F.max("n").alias("n"))
     own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h", F.xxhash64(F.col("text").cast("string")))
     met = own.join(kept.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("n").alias("_n")), ["_doc", "_h"])
     again = F.row_number().over(Window.partitionBy("_doc", "_h").orderBy("_doc"))

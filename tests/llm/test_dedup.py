@@ -162,6 +162,14 @@ def test_one_of_each(spark):
     assert ngramjoin.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_of_texts_with_one_set_under_one_id(spark):
+    base = "one two three four five six seven"
+    rows = [(i, t) for i in (None, 4) for t in (base, base.upper(), base.replace(" ", "  "))] + [(5, "another text"), (5, "Another Text"), (5, "another text"), (5, " "), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], (r["text"] or "").lower().split()) for r in ngramjoin.one_of_each(docs, 5, 80).collect()]
+    assert plain.ordered(kept) == plain.ordered([(None, base.lower().split()), (5, ["another", "text"]), (5, []), (5, [])])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
