@@ -198,7 +198,7 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
                 yield from links()
                 group, sets = (canopy, pair), {}
             t = tokens(text, words)
-            if set_id(t) == sid:  # else the text of another row with the same id
+            if set_id(t) == sid:  # else another text with the same id and hash
                 sets[sid] = t
     yield from links()
 
@@ -269,8 +269,8 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = member.join(blocks, "canopy").withColumn("_own", own).withColumn("_other", other)
-    dealt = dealt.select("doc", "sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
-    met = rows.join(dealt.hint("merge"), "doc").select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
+    dealt = dealt.select("doc", "h", "sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
+    met = hashed.join(dealt.hint("merge"), ["doc", "h"]).select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
     links = components(met.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"))
 
     found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")

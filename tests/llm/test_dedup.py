@@ -100,6 +100,21 @@ def test_copies_under_one_id_are_gathered_once(spark, monkeypatch, tmp_path, fin
     assert pieces and len(pieces) == len(set(pieces)) and 0 < most < 150
 
 
+def test_null_ids_meet_their_own_text_only(spark, monkeypatch):
+    rows = [(None, " ".join(f"{w}{i}" for i in range(40))) for w in range(20)] + [(None, " ".join(f"{w}{i}" for i in [*range(39), 99])) for w in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, verify = spark.sparkContext.accumulator(0), ngramjoin._verify
+
+    def verified(batches, words, percent):
+        for b in batches:
+            met.add(b.num_rows)
+            yield from verify(iter([b]), words, percent)
+
+    monkeypatch.setattr(ngramjoin, "_verify", verified)
+    assert ngramjoin.join(docs).count() == 40
+    assert 0 < met.value <= 80
+
+
 def test_parse_checks_windows_over_factor_boundaries():
     # Two stretches overlap by fewer words than a window: the window over the boundary is in neither.
     assert rlz.parse(np.array([0, 30]), np.array([60, 100]), 0, 51, 50) == [(0, 11), (30, 21)]
