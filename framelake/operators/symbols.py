@@ -119,18 +119,19 @@ def _ac_symbols(block) -> Column:
 
 
 def dc_symbol_counts(diffs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Counts of DC categories per image and DC table. ``comps``: ``image_id, ci, dc_table``."""
+    """Counts of DC categories per image and DC table. ``comps``: ``image_id, ci, dc_table``. Components that it does not list
+    stay, under a null slot."""
     per = diffs.groupBy(*KEYS, fb.category("diff").alias("symbol")).agg(F.count("*").alias("n"))
-    j = per.join(comps.select("image_id", "ci", F.col("dc_table").alias("slot")), KEYS)
+    j = per.join(comps.select("image_id", "ci", F.col("dc_table").alias("slot")), KEYS, "left")
     return j.groupBy("image_id", F.lit(0).alias("class"), "slot", "symbol").agg(F.sum("n").alias("n"))
 
 
 def ac_symbol_counts(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     """Counts of AC symbols per image and AC table. Symbols are counted per component first, so the join to the
-    tables sees at most 256 rows per component."""
+    tables sees at most 256 rows per component. Components that ``comps`` does not list stay, under a null slot."""
     symbols = blocks.select(*KEYS, F.explode(_ac_symbols("coef")).alias("symbol"))
     per = symbols.groupBy(*KEYS, "symbol").agg(F.count("*").alias("n"))
-    j = per.join(comps.select("image_id", "ci", F.col("ac_table").alias("slot")), KEYS)
+    j = per.join(comps.select("image_id", "ci", F.col("ac_table").alias("slot")), KEYS, "left")
     return j.groupBy("image_id", F.lit(1).alias("class"), "slot", "symbol").agg(F.sum("n").alias("n"))
 
 
@@ -343,7 +344,9 @@ def encoding_report(blocks: DataFrame, comps: DataFrame, chunk: float = 65536) -
     """Size of every image under the standard and its own best tables, and the saving.
 
     ``blocks`` needs ``pos, h, v`` (see ``scan_position``); ``comps``: ``image_id, ci, dc_table, ac_table``. All heavy
-    steps end in partial counts; what is joined afterwards is at most a few hundred rows per image.
+    steps end in partial counts; what is joined afterwards is at most a few hundred rows per image. Symbols of components that
+    ``comps`` does not list, which have no standard table, are among the ``uncodable`` and in ``optimal_bits`` as one more table,
+    like those of slots without a standard table.
     """
     counts = dc_symbol_counts(dc_diff(blocks, chunk=chunk), comps).unionByName(ac_symbol_counts(blocks, comps))
     # The counts flow once through both sets of lengths; sizing them apart would compute them again.

@@ -97,3 +97,16 @@ def test_sizes_add_up(spark):
     apart = {r.image_id: r.bits for r in sy.coded_size(counts, sy.optimal_lengths(counts).drop("n")).collect()}
     assert {r.image_id: r.optimal_bits for r in report} == apart
     assert report and all(r.saved_bits >= 0 and r.uncodable == 0 for r in report)
+
+
+def test_unlisted_components_keep_their_counts(spark):
+    block = [3, -1] + [0] * 62
+    blocks = spark.createDataFrame([(i, c, 0, 0, 0, 1, 1, block) for i, c in ((1, 0), (1, 1), (2, 0))], "image_id int, ci int, by int, bx int, pos long, h int, v int, coef array<int>")
+    comps = spark.createDataFrame([(1, 0, 0, 0)], "image_id int, ci int, dc_table int, ac_table int")
+    diffs = blocks.select("image_id", "ci", F.col("coef")[0].alias("diff"))
+    for counts, each in ((sy.dc_symbol_counts(diffs, comps), 1), (sy.ac_symbol_counts(blocks, comps), 2)):
+        found = {}
+        for r in counts.collect():
+            found[r.image_id, r.slot] = found.get((r.image_id, r.slot), 0) + r.n
+        assert found == {(1, 0): each, (1, None): each, (2, None): each}
+    assert {r.image_id: r.uncodable for r in sy.encoding_report(blocks, comps).collect()} == {1: 3, 2: 3}
