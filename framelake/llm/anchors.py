@@ -5,12 +5,13 @@ it with the smallest hash, of equal ones the first. Equal windows have equal anc
 The windows of a text that share one anchor lie side by side and form a unit; a unit has at most ``size - k + 1`` windows, and
 there are about two units in ``size - k + 1`` symbols.
 
-A unit has two names, each a 64-bit hash: that of its anchor and that of all its symbols. Units with equal names are equal; windows
-of units with different anchor names are not.
+A unit has two names of 64 bits. That of its anchor is a rolling hash, which need only be equal for equal runs: windows of units with
+different anchor names differ. That of all its symbols is a BLAKE2b hash, so units with both names equal are taken as equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,19 @@ def _powers(n: int, base: int) -> np.ndarray:
 UP, DOWN = _powers(2 * PIECE, ODD), _powers(2 * PIECE, pow(ODD, -1, 1 << 64))
 
 
+def strong(data: bytes | memoryview) -> int:
+    """64 bits of the BLAKE2b hash of some bytes. No texts are known that it takes for equal, unlike rolling hashes."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def names(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the stretches symbols[start:end]."""
+    wide, data = symbols.itemsize, memoryview(np.ascontiguousarray(symbols)).cast("B")
+    return np.array([strong(data[a * wide : b * wide]) for a, b in zip(start.tolist(), end.tolist())], "u8")
+
+
 class Rolling:
-    """Hashes of any stretches of up to 2 * PIECE symbols."""
+    """Hashes of any stretches of up to 2 * PIECE symbols, for choosing anchors. Different stretches may have one hash."""
 
     def __init__(self, symbols: np.ndarray):
         self.sums = np.zeros(len(symbols) + 1, "u8")
@@ -63,8 +75,8 @@ def units(symbols: np.ndarray, size: int, k: int, signs: np.ndarray | None = Non
     windows = len(symbols) - size + 1
     for at in range(0, windows, PIECE):
         here = symbols[at : at + PIECE + size - 1]
-        first, many, anchor, name = _units(here if signs is None else signs[here], size, k)
-        yield first + at, many, anchor, name
+        first, many, anchor = _units(here if signs is None else signs[here], size, k)
+        yield first + at, many, anchor, names(here, first, first + many - 1 + size)
 
 
 def _units(symbols: np.ndarray, size: int, k: int):
@@ -87,7 +99,7 @@ def _units(symbols: np.ndarray, size: int, k: int):
         keep = np.setdiff1d(np.arange(len(first)), more)
         first = np.concatenate([first[keep], *(e[0] for e in extra)])
         last = np.concatenate([last[keep], *(e[1] for e in extra)])
-    return first, last - first + 1, low[first], roll.at(first, last + size, first)
+    return first, last - first + 1, low[first]
 
 
 SIGNS = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)

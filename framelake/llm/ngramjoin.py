@@ -18,7 +18,6 @@ Documents with the same token set are one entry throughout.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import PIECE, SIGNS, _mix
+from .anchors import PIECE, _mix, strong
 from .common import LOWER, UPPER, batch_of, by_rows, forget, stored
 from .components import components
 
@@ -41,14 +40,20 @@ RARE, OTHER = -1, -2  # kinds of key; a set's row of its own has the number of f
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def powers(base):
-        out = np.full(size, base, "u8")
-        out[0] = 1
-        return np.cumprod(out, dtype="u8")
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")  # masks of the first bytes of eight
 
-    return powers(int(ODD)), powers(pow(int(ODD), -1, 1 << 64))
+
+def _hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words part[start:end]: up to 16 bytes by mixing them eight at a time, longer ones by BLAKE2b."""
+    data = part.tobytes() + bytes(16)
+    eight = np.ndarray((len(part) + 9,), "<u8", data, strides=(1,))
+    size = ends - starts
+    low = eight[starts] & LOW_BYTES[np.minimum(size, 8)]
+    high = eight[np.minimum(starts + 8, len(part))] & LOW_BYTES[np.clip(size - 8, 0, 8)]
+    out = _mix((_mix(low + size.astype("u8") * ODD) ^ high) * ODD + np.uint64(1))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = strong(data[starts[i] : ends[i]])
+    return out
 
 
 def word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
@@ -69,10 +74,7 @@ def word_hashes(data: bytes, lower: bool = True) -> np.ndarray:
             gap = SPACE[part]
         edge = np.diff(np.concatenate([[True], gap, [True]]).view("i1"))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _powers(1 << max(17, len(part).bit_length()))
-        sums = np.zeros(len(part) + 1, "u8")
-        np.cumsum(SIGNS[part] * up[: len(part)], out=sums[1:])
-        out.append(_mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype("u8")))
+        out.append(_hashes(part, starts, ends))
         at = end
     return np.concatenate(out) if out else np.zeros(0, "u8")
 

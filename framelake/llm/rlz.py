@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import spans
-from .anchors import Rolling, units
+from .anchors import Rolling, names, units
 from .common import batch_of, by_rows
 from .ngramjoin import word_hashes
 
@@ -99,7 +99,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, k: int = 16) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row of ``docs`` (``doc_id, text``).
 
     Words are runs of bytes other than blanks and the signs 0x09 to 0x0D; ``kept`` is those left, joined by a blank. A null text has no
-    word. Windows are judged on the input. Of several documents with a passage, the one of the smallest id keeps it; rows with one
+    word. Windows are judged on the input; stretches whose 64-bit names are equal are taken as equal. Of several documents with a passage, the one of the smallest id keeps it; rows with one
     id, and rows without an id, which count as smallest, take nothing from each other.
     """
     return _find(docs, size, k, True)
@@ -142,7 +142,7 @@ def _find(docs: DataFrame, size: int, k: int, with_kept: bool) -> DataFrame:
 
     def names_of(piece: bytes, n: int) -> np.ndarray:
         s = word_hashes(piece.partition(b" ")[2], lower=False)
-        return Rolling(s).at(slice(0, n), slice(size, size + n))
+        return names(s, np.arange(n), np.arange(n) + size)
 
     def finish(batches):
         for batch in by_rows(batches):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .anchors import SIGNS, Rolling, byte_symbols, units
+from .anchors import SIGNS, names, units
 from .common import batch_of, by_rows
 
 V = 64
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, k: int = 64, volume: int =
     """The rows of ``docs`` with ``text`` less its repeats, and ``n_removed, n_spans`` after their own columns.
 
     Texts are taken as UTF-8 bytes, null as empty; every byte that a repeated string covers goes, and what a cut leaves of a
-    character goes with it. Strings are judged on the input; a string may repeat within its text, overlapping or not. Texts
+    character goes with it. Strings are judged on the input, stretches whose 64-bit names are equal are taken as equal; a string may repeat within its text, overlapping or not. Texts
     shorter than ``size`` stay whole. Rows with one id are documents of their own, so two equal rows repeat each other. ``size``: a
     multiple of 8 over 64. ``volume``: bytes a task sorts at a time. Columns of the input that have the new names give way.
     """
@@ -180,6 +180,6 @@ def _find(rows: DataFrame, size: int, k: int, volume: int, finish, ddl: str) ->
             yield batch_of(spans.SPANS, *cols)
 
     def names_of(piece: bytes, n: int) -> np.ndarray:
-        return Rolling(byte_symbols(piece)).at(slice(0, n), slice(size, size + n))
+        return names(np.frombuffer(piece, "u1"), np.arange(n), np.arange(n) + size)
 
     return spans.find(rows, units_of, piece_of, compare, names_of, finish, ddl, by_doc=False, most=4 * volume // size)

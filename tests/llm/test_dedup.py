@@ -191,3 +191,31 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def thue_morse(n, letters="ab"):
+    """A text and its complement, which polynomial hashes modulo a power of two do not tell apart from a length of 1,024 on."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_texts_that_rolling_hashes_take_for_equal(spark):
+    one, two = thue_morse(2048)
+    common = [f"word{i}" for i in range(49)]
+    rows = [(1, one), (2, two), (3, " ".join([*common, one])), (4, " ".join([*common, two]))]
+    rows += [(5, " ".join(thue_morse(300)[0])), (6, " ".join(reversed(thue_morse(300)[1])) + " x"), (7, "c" * 150 + one[:300]), (8, "c" * 150 + two[:300])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain.word_repeats(rows)
+    assert plain.ordered(rlz.digests(docs).collect()) == plain.ordered(want) and want[3][2] == 0
+    assert plain.ordered(suffix.digests(docs).collect()) == plain.ordered(w[:5] for w in plain.byte_repeats(rows))
+    counts, group = plain.classes(rows, 4, 85)
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join(docs, 4, 85).collect()}
+    assert got[1] == 1 and got[2] == 2 and len({got[i] for i, _ in rows}) == len(set(group))
+    assert sorted(r["doc_id"] for r in ngramjoin.one_of_each(docs, 5, 80).select("doc_id").collect())[:2] == [1, 2]
+
+
+def test_word_hashes_tell_words_apart():
+    words = sorted({w.encode() for n in range(1, 40) for w in (*thue_morse(n), "x" * n, "\0" * n, "x" * n + "\0", "é" * n)})
+    for text in (b" ".join(words), b"\t".join(reversed(words))):
+        got = ngramjoin.word_hashes(text, lower=False)
+        assert len(set(got.tolist())) == len(words) and dict(zip(text.split(), got.tolist())) == dict(zip(words, [int(ngramjoin.word_hashes(w, lower=False)[0]) for w in words]))
