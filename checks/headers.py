@@ -1,5 +1,7 @@
 """Header bytes. The input is assembled from `part`; the SQL twins compute the expected fields from `part` directly."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelake.functions import headers as hf
@@ -9,6 +11,9 @@ from framelake.operators import catalog as c
 from framelake.operators import headers as hd
 from framelake.plans import jobs
 
+from framelake.session import checkpoint_dir
+from framelake.sources import ranges
+
 from .base import register, spark_fx, table
 
 _ZEROS = "".join("%02X" % v for v in (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0))
@@ -110,6 +115,42 @@ def _(s, d):
     return segs(s, d).withColumnRenamed("offset", "offset_")
 
 
+# Files on disk: every fiftieth image has two application segments of the greatest length behind its start, so that its headers are over
+# 128 KB; every twentieth has 100 KB of coded data behind them.
+_PAD = "X'FFE2FFFF', encode(repeat('p', 65533), 'ISO-8859-1')"
+_BIG = f"if(image_id % 50 = 0 AND image_id % 97 <> 0, concat(X'FFD8', {_PAD}, {_PAD}, substring(content, 3)), content)"
+
+
+def written(s, d):
+    """The files of fx_headers in a new folder that executors share, four subfolders deep at most."""
+    folder = f"{checkpoint_dir(s)}/headers-{uuid.uuid4().hex}"
+    rows = files(s, d).select("image_id", F.expr(_BIG).alias("content"))
+
+    def write(batches):
+        where, inner, _ = ranges.store(folder)
+        for batch in batches:
+            for i, content in zip(batch["image_id"].to_pylist(), batch["content"].to_pylist()):
+                at = f"{inner}/{i % 3}/{i % 7}"
+                where.create_dir(at, recursive=True)
+                with where.open_output_stream(f"{at}/{i}.{'JPG' if i % 2 else 'jpeg'}") as out:
+                    out.write(content + (bytes(range(256)) * 400 if i % 20 == 0 else b""))
+            yield batch.select(["image_id"])
+
+    rows.mapInArrow(write, "image_id long").count()
+    return folder
+
+
+@register("headers_from_ranges", "image_id seq marker offset_ length discarded", f"""WITH {EXPECT},
+big AS (SELECT image_id FROM fx_images WHERE image_id % 50 = 0 AND {OK})
+SELECT image_id, CASE WHEN seq > 0 AND image_id % 50 = 0 THEN seq + 2 ELSE seq END AS seq, marker,
+ CASE WHEN seq > 0 AND image_id % 50 = 0 THEN offset_ + 131074 ELSE offset_ END AS offset_, length, discarded FROM segx
+UNION ALL SELECT image_id, 1, 226, 2, 65535, 0 FROM big UNION ALL SELECT image_id, 2, 226, 65539, 65535, 0 FROM big""")
+def _(s, d):
+    found = ranges.scan_headers(s, written(s, d), recursive=True)
+    name = F.regexp_extract("image_id", r"(\d+)\.\w+$", 1).cast("long")
+    return hd.segments(found.withColumn("image_id", name)).withColumnRenamed("offset", "offset_")
+
+
 @register("frames", "image_id width height ncomp precision baseline:b progressive:b", f"""
 SELECT image_id, width, height, ncomp, CASE WHEN image_id % 31 = 0 THEN 7 ELSE 8 END AS precision, image_id % 6 <> 0 AS baseline,
  image_id % 6 = 0 AS progressive FROM fx_images WHERE {HAS_SOF}""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import orientation as o
 from ..functions.exprs import col
 from ..operators import audit, blocks, catalog, headers, metadata, palette, samples, symbols
-from ..sources.files import scan_images
+from ..sources.ranges import scan_headers
 
 
 def rotation_plan(images: DataFrame, trim: bool = True) -> DataFrame:
@@ -23,8 +23,14 @@ def rotation_plan(images: DataFrame, trim: bool = True) -> DataFrame:
     return catalog.rotation_plan(known.withColumn("trim", F.lit(trim)))
 
 
-def plan_folder(spark: SparkSession, folder: str, trim: bool = True) -> DataFrame:
-    return rotation_plan(scan_images(spark, folder), trim)
+def plan_folder(spark: SparkSession, folder: str, trim: bool = True, recursive: bool = False) -> DataFrame:
+    """Plan of every rotatable image of a folder. Of each file only the headers are read."""
+    return rotation_plan(scan_headers(spark, folder, recursive), trim)
+
+
+def audit_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """Findings over the files of a folder. Of each file only the headers are read."""
+    return corpus_audit(scan_headers(spark, folder, recursive))
 
 
 TAG_COLUMNS = ["image_id", "seq", "ifd", "tag", "type", "count", "value_offset", "values"]
