@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from framelake.functions import geometry as g
 from framelake.operators import audit as au
 from framelake.operators import frames as fr
+from framelake.operators import requests as rq
 from framelake.operators import scans as sc
 
 from .base import SPLIT, both, register, spark_fx, table
@@ -259,13 +260,10 @@ crop AS (SELECT image_id, line, transform, unit, okx AS ok_x, oky AS ok_y,
 @register("resolve_crop", "image_id line status:s ok_x:b ok_y:b out_w out_h ux uy wipe_w wipe_h", CROP + """SELECT image_id, line, CASE WHEN ok_x AND ok_y THEN 'ok' ELSE 'refused' END AS status, ok_x, ok_y, out_w, out_h, ux, uy, wipe_w, wipe_h FROM crop
 UNION ALL SELECT image_id, line, 'bad_request', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM fx_crops WHERE broken""")
 def _(s, d):
-    t = spark_fx(s, d, "fx_crops").withColumn("c", g.parse_crop("spec"))
     ow, oh = g.output_size("width", "height", "transform")
-    t = t.withColumn("rx", g.resolve_crop_axis(ow, "unit", "c.w", "c.w_state", "c.x", "c.x_state", "transform"))
-    t = t.withColumn("ry", g.resolve_crop_axis(oh, "unit", "c.h", "c.h_state", "c.y", "c.y_state", "transform"))
-    t = t.withColumn("status", g.crop_status("c", "rx.ok", "ry.ok"))
-    return t.selectExpr("image_id", "line", "status", "rx.ok AS ok_x", "ry.ok AS ok_y", "rx.out AS out_w", "ry.out AS out_h", "rx.units_off AS ux",
-                        "ry.units_off AS uy", "rx.wipe_units AS wipe_w", "ry.wipe_units AS wipe_h")
+    t = spark_fx(s, d, "fx_crops").withColumns({"full_w": ow, "full_h": oh, "unit_w": F.col("unit"), "unit_h": F.col("unit")})
+    t = rq.resolve_crop(t).withColumn("status", rq.crop_status())
+    return t.withColumnsRenamed({"x_off": "ux", "y_off": "uy"})
 
 
 # --- output parameters ----------------------------------------------------------------------------------

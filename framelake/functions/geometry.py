@@ -76,87 +76,41 @@ CROP_FORMAT = r"\A(?:(\d+)([fF])?)?(?:[xX](\d+)([fF])?)?(?:([+-])(\d+))?(?:([+-]
 CROP_PARTS = "|".join(f"${i}" for i in range(1, 9))
 
 
-def parse_crop(spec) -> Column:
-    """``<w>[f]x<h>[f]{+-}<x>{+-}<y>`` with every part optional. States: unset, pos, neg, force. NULL if invalid.
+def crop_parts(spec) -> Column:
+    """The parts of a crop request as an array of texts; NULL if it can't be read.
 
     One match splits the request into its parts; reading group by group would match the pattern a dozen times.
     """
     s = col(spec)
+    return F.when(s.rlike(CROP_FORMAT), F.split(F.regexp_replace(s, CROP_FORMAT, CROP_PARTS), "[|]"))
 
-    def fields(part: Column) -> Column:
-        def number(i: int) -> Column:
-            # 32-bit wrap-around: a value modulo 2^32 depends on its last 32 decimal digits only.
-            digits = F.right(part[i], F.lit(32))
-            wrapped = (digits.cast("decimal(38,0)") % F.lit(2**32).cast("decimal(38,0)")).cast("bigint")
-            small = digits.cast("bigint")
-            return F.when(F.length(digits).between(1, 9), small).when(digits != "", wrapped)
 
-        def extent_state(i: int) -> Column:
-            return F.when(part[i] == "", "unset").when(part[i + 1] != "", "force").otherwise("pos")
+def crop_fields(part: Column) -> dict[str, Column]:
+    """Numbers and states (unset, pos, neg, force) of the parts of a request."""
 
-        def offset_state(i: int) -> Column:
-            return F.when(part[i + 1] == "", "unset").when(part[i] == "-", "neg").otherwise("pos")
+    def number(i: int) -> Column:
+        # 32-bit wrap-around: a value modulo 2^32 depends on its last 32 decimal digits only.
+        digits = F.right(part[i], F.lit(32))
+        wrapped = (digits.cast("decimal(38,0)") % F.lit(2**32).cast("decimal(38,0)")).cast("bigint")
+        small = digits.cast("bigint")
+        return F.when(F.length(digits).between(1, 9), small).when(digits != "", wrapped)
 
-        return F.struct(
-            number(0).alias("w"), extent_state(0).alias("w_state"),
-            number(2).alias("h"), extent_state(2).alias("h_state"),
-            number(5).alias("x"), offset_state(4).alias("x_state"),
-            number(7).alias("y"), offset_state(6).alias("y_state"),
-        )
+    def extent_state(i: int) -> Column:
+        return F.when(part[i] == "", "unset").when(part[i + 1] != "", "force").when(part.isNotNull(), "pos")
 
-    parts = F.split(F.regexp_replace(s, CROP_FORMAT, CROP_PARTS), "[|]")
-    return F.when(s.rlike(CROP_FORMAT), let(parts, fields))
+    def offset_state(i: int) -> Column:
+        return F.when(part[i + 1] == "", "unset").when(part[i] == "-", "neg").when(part.isNotNull(), "pos")
 
+    return {
+        "w": number(0), "w_state": extent_state(0), "h": number(2), "h_state": extent_state(2),
+        "x": number(5), "x_state": offset_state(4), "y": number(7), "y_state": offset_state(6),
+    }
 
-def resolve_crop_axis(size, unit, extent, extent_state, offset, offset_state, transform) -> Column:
-    """One axis of a crop request against an image axis of length ``size`` and unit size ``unit``.
 
-    Returns ``struct<ok, extent, offset, out, units_off, wipe_units>``; every field but ``ok`` is NULL on an
-    invalid request. Error conditions are tested before any subtraction.
-    """
-    transform = col(transform)
-    given = F.struct(
-        col(size).cast("bigint").alias("size"), col(unit).cast("bigint").alias("unit"),
-        F.when(col(offset_state) == "unset", F.lit(0)).otherwise(col(offset)).cast("bigint").alias("off"),
-        (col(extent_state) == "unset").alias("unset"), (col(extent_state) == "force").alias("force"),
-        (col(offset_state) == "neg").alias("neg"), col(extent).cast("bigint").alias("asked"),
-    )
-
-    # Each stage is bound once; written out as one expression the same terms would be evaluated many times over.
-    def with_extent(g: Column) -> Column:
-        ext = F.when(g["unset"], g["size"] - g["off"]).otherwise(g["asked"])
-        return let(F.struct(ext.alias("ext"), (~g["unset"] & (g["asked"] > g["size"])).alias("grows")), lambda e: checked(g, e))
-
-    def checked(g: Column, e: Column) -> Column:
-        size, off, ext = g["size"], g["off"], e["ext"]
-        ok = (
-            F.when(g["unset"], off < size)
-            .when(e["grows"], (transform == fixed.NONE) & (off < ext) & (off <= ext - size))
-            .otherwise((off < size) & (ext > 0) & (off <= size - ext))
-        )
-        real = F.when(~g["neg"], off).when(e["grows"], ext - size - off).otherwise(size - ext - off)
-        return let(F.struct(ok.alias("ok"), F.when(ok, real).alias("real")), lambda c: placed(g, e, c))
-
-    def placed(g: Column, e: Column, c: Column) -> Column:
-        wipes = transform == fixed.WIPE
-        covering = e["ext"] + c["real"] % g["unit"]
-        out = F.when(wipes, g["size"]).when(g["force"] | e["grows"], e["ext"]).otherwise(covering)
-        return F.struct(
-            c["ok"].alias("ok"),
-            F.when(c["ok"], e["ext"]).alias("extent"),
-            c["real"].alias("offset"),
-            F.when(c["ok"], out).alias("out"),
-            F.when(c["ok"], idiv(c["real"], g["unit"])).alias("units_off"),
-            F.when(c["ok"] & wipes, ceil_div(covering, g["unit"])).alias("wipe_units"),
-        )
-
-    return let(given, with_extent)
-
-
-def crop_status(parsed, ok_x, ok_y) -> Column:
-    """``bad_request`` (cannot be read), ``refused`` (does not fit the image) or ``ok``, so that no request is lost."""
-    fits = F.coalesce(col(ok_x) & col(ok_y), F.lit(False))
-    return F.when(col(parsed).isNull(), "bad_request").when(~fits, "refused").otherwise("ok")
+def parse_crop(spec) -> Column:
+    """``<w>[f]x<h>[f]{+-}<x>{+-}<y>`` with every part optional. States: unset, pos, neg, force. NULL if invalid."""
+    parts = crop_parts(spec)
+    return F.when(parts.isNotNull(), let(parts, lambda part: F.struct(*(v.alias(k) for k, v in crop_fields(part).items()))))
 
 
 # --- scaling ---------------------------------------------------------------------------------------

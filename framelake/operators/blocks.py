@@ -33,7 +33,8 @@ def with_plan(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     return blocks.withColumn("_band", idiv("by", BAND)).join(bands, ["image_id", "ci", "_band"]).drop("_band")
 
 
-def _placed(rows: DataFrame, transform: str | Column) -> DataFrame:
+def transformed(rows: DataFrame, transform: str | Column) -> DataFrame:
+    """Blocks at their places in the transformed image. Needs ``PLAN_COLUMNS`` but ``transform``."""
     t = F.lit(transform) if isinstance(transform, str) else transform
     struct = fb.place_block(t, "by", "bx", "coef", "width", "height", "ncomp", "max_h", "max_v", "h", "v")
     return rows.withColumn("_p", struct).withColumns(
@@ -42,45 +43,48 @@ def _placed(rows: DataFrame, transform: str | Column) -> DataFrame:
 
 
 def flip_h(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.FLIP_H)
+    return transformed(rows, fixed.FLIP_H)
 
 
 def flip_v(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.FLIP_V)
+    return transformed(rows, fixed.FLIP_V)
 
 
 def transpose(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.TRANSPOSE)
+    return transformed(rows, fixed.TRANSPOSE)
 
 
 def transverse(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.TRANSVERSE)
+    return transformed(rows, fixed.TRANSVERSE)
 
 
 def rot_90(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.ROT_90)
+    return transformed(rows, fixed.ROT_90)
 
 
 def rot_180(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.ROT_180)
+    return transformed(rows, fixed.ROT_180)
 
 
 def rot_270(rows: DataFrame) -> DataFrame:
-    return _placed(rows, fixed.ROT_270)
+    return transformed(rows, fixed.ROT_270)
 
 
-def wipe(rows: DataFrame) -> DataFrame:
-    """Blank the blocks of the rectangle ``x_off, y_off, wipe_w, wipe_h`` (whole units)."""
+def wipe(rows: DataFrame, where: Column | None = None) -> DataFrame:
+    """Blank the blocks of the rectangle ``x_off, y_off, wipe_w, wipe_h`` (whole units); only of the rows ``where``, if given."""
     dh, dv = fb.sampling(F.lit(fixed.WIPE), "ncomp", "h", "v")
     inside = (
         (F.col("bx") >= F.col("x_off") * dh) & (F.col("bx") < (F.col("x_off") + F.col("wipe_w")) * dh)
         & (F.col("by") >= F.col("y_off") * dv) & (F.col("by") < (F.col("y_off") + F.col("wipe_h")) * dv)
     )
+    if where is not None:
+        inside = where & inside
     blank = F.transform("coef", lambda c: c - c)
     return rows.withColumn("coef", F.when(F.coalesce(inside, F.lit(False)), blank).otherwise(F.col("coef")))
 
 
-def _extent(transform: Column) -> tuple[Column, Column, Column, Column]:
+def extent(transform: Column) -> tuple[Column, Column, Column, Column]:
+    """Sampling of a component in the result, and the result's blocks across and down."""
     dh, dv = fb.sampling(transform, "ncomp", "h", "v")
     uw, uh = g.imcu_size("ncomp", "max_h", "max_v", transform)
     return dh, dv, fb.blocks_across("out_w", dh, uw), fb.blocks_across("out_h", dv, uh)
@@ -89,7 +93,7 @@ def _extent(transform: Column) -> tuple[Column, Column, Column, Column]:
 def crop(rows: DataFrame, transform: str | Column = fixed.NONE) -> DataFrame:
     """Keep the blocks of the result area and shift them by the crop offset (whole units)."""
     t = F.lit(transform) if isinstance(transform, str) else transform
-    dh, dv, wide, high = _extent(t)
+    dh, dv, wide, high = extent(t)
     x, y = F.col("bx") - F.col("x_off") * dh, F.col("by") - F.col("y_off") * dv
     inside = (x >= 0) & (y >= 0) & (x < wide) & (y < high)
     return rows.filter(inside).withColumns({"bx": x.cast("int"), "by": y.cast("int")})
@@ -102,7 +106,7 @@ def crop_extend(rows: DataFrame, plan: DataFrame) -> DataFrame:
     with blank blocks. The filling is generated from the plan, so it needs no join; it is spread by block row.
     """
     t = F.lit(fixed.NONE)
-    dh, dv, wide, high = _extent(t)
+    dh, dv, wide, high = extent(t)
     whole_w, whole_h = fb.whole_blocks(t, "width", "height", "ncomp", "max_h", "max_v", "h", "v")
     gx, gy = F.col("out_w") > F.col("width"), F.col("out_h") > F.col("height")
     shift_x = F.when(gx, -F.col("x_off") * dh).otherwise(F.col("x_off") * dh)
@@ -133,7 +137,7 @@ def rotate_blocks(blocks: DataFrame, plan: DataFrame) -> DataFrame:
     if "refusal" in plan.columns:
         plan = plan.filter("refusal IS NULL").drop("refusal")
     joined = with_plan(blocks, plan)
-    return crop(_placed(joined, F.col("transform")), F.col("transform")).select(*blocks.columns)
+    return crop(transformed(joined, F.col("transform")), F.col("transform")).select(*blocks.columns)
 
 
 def low_frequency(blocks: DataFrame, k: int) -> DataFrame:
