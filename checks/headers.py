@@ -356,14 +356,17 @@ def _(s, d):
     return au.missing_tables(hd.components(hd.frames(t)), hd.qtables(t))
 
 
-@register("corpus_audit", "image_id issue:s severity:s", f"""
+_AUDIT = f"""
 SELECT image_id, 'bad_precision' AS issue, 'error' AS severity FROM fx_images WHERE {HAS_SOF} AND image_id % 31 = 0
 UNION ALL SELECT image_id, 'sos_before_sof', 'error' FROM fx_images WHERE {OK} AND image_id % 29 = 0
 UNION ALL SELECT image_id, 'dqt_slot', 'error' FROM fx_images WHERE {OK} AND image_id % 23 = 0
 UNION ALL SELECT image_id, 'bad_progression', 'error' FROM fx_images WHERE {HAS_SOF} AND image_id % 6 = 0 AND ncomp = 1
 UNION ALL SELECT image_id, 'not_sequential', 'warning' FROM fx_images WHERE {HAS_SOF} AND image_id % 6 <> 0 AND ncomp = 3
 UNION ALL SELECT DISTINCT image_id, 'missing_table', 'error' FROM fx_components WHERE {HAS_SOF} AND ((ci = 0 AND image_id % 23 = 0) OR (ci > 0 AND image_id % 13 <> 0))
-UNION ALL SELECT image_id, 'jfif_version', 'warning' FROM fx_images WHERE {OK} AND image_id % 3 = 0 AND image_id % 4 IN (0, 3)""")
+UNION ALL SELECT image_id, 'jfif_version', 'warning' FROM fx_images WHERE {OK} AND image_id % 3 = 0 AND image_id % 4 IN (0, 3)"""
+
+
+@register("corpus_audit", "image_id issue:s severity:s", _AUDIT)
 def _(s, d):
     return au.corpus_audit(segs(s, d))
 
@@ -393,3 +396,30 @@ def _(s, d):
     t = spark_fx(s, d, "fx_images").selectExpr("image_id", """transform(CASE image_id % 4 WHEN 0 THEN array(1, 2, 3) WHEN 1 THEN array(5, 6, 6)
       WHEN 2 THEN array(4, 4, 5) ELSE array(1, 1, 1) END, x -> named_struct('component_id', x)) AS components""")
     return au.fix_component_ids(t)
+
+
+@register("scan_components", "image_id seq place component_id ci dc ac", f"""
+WITH {EXPECT}, scan_at AS (SELECT image_id, seq FROM segx WHERE marker = 218),
+named AS (SELECT i.image_id, i.ncomp, unnest(range(CASE WHEN i.ncomp = 1 THEN 1 ELSE 3 END)) AS place FROM fx_images i WHERE i.{OK})
+SELECT n.image_id, a.seq, n.place, n.place + 1 AS component_id,
+ CASE WHEN n.image_id % 29 <> 0 AND (n.place = 0 OR n.image_id % 37 <> 0) THEN n.place END AS ci,
+ CASE WHEN n.place > 0 THEN 1 ELSE 0 END AS dc, CASE WHEN n.place > 0 THEN 1 ELSE 0 END AS ac FROM named n JOIN scan_at a USING (image_id)""")
+def _(s, d):
+    t = segs(s, d)
+    return au.scan_components(hd.scans(t), hd.frames(t))
+
+
+# The files define the table of class 0, slot 0 only; scans of three components stop at the first coefficient.
+@register("missing_huffman", "image_id scan_no class slot", f"""
+SELECT image_id, 0 AS scan_no, CASE WHEN ncomp = 1 THEN 1 ELSE 0 END AS class, CASE WHEN ncomp = 1 THEN 0 ELSE 1 END AS slot FROM fx_images WHERE {OK}""")
+def _(s, d):
+    t = segs(s, d)
+    return au.missing_huffman(hd.scans(t).withColumn("scan_no", F.lit(0)), hd.htables(t), hd.frames(t))
+
+
+@register("issue_log", "image_id issue:s severity:s", f"""SELECT * FROM ({_AUDIT}) a
+UNION ALL SELECT image_id, 'missing_huffman', 'error' FROM fx_images WHERE {OK}
+UNION ALL SELECT image_id, 'bad_component_id', 'error' FROM fx_images WHERE {HAS_SOF} AND image_id % 37 = 0 AND ncomp = 3
+UNION ALL SELECT image_id, 'discarded_bytes', 'warning' FROM fx_images WHERE {OK} AND image_id % 7 = 0""")
+def _(s, d):
+    return au.issue_log(segs(s, d))

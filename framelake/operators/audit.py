@@ -151,14 +151,47 @@ def fix_component_ids(frames: DataFrame) -> DataFrame:
     Works inside the component array of a frame (at most 255 entries), since each fix depends on the last.
     """
 
-    def step(done: Column, c: Column) -> Column:
-        taken = F.array_contains(done, c["component_id"])
-        return F.concat(done, F.array(F.when(taken, F.array_max(done) + 1).otherwise(c["component_id"])))
-
-    ids = F.aggregate("components", F.array().cast("array<int>"), step)
+    ids = distinct_ids(F.transform("components", lambda c: c["component_id"]))
     return frames.select("image_id", F.posexplode(ids).alias("ci", "component_id"))
 
 
+def distinct_ids(ids) -> Column:
+    """Ids in order, each repeated one as the largest id so far plus one."""
+
+    def step(done: Column, i: Column) -> Column:
+        return F.concat(done, F.array(F.when(F.array_contains(done, i), F.array_max(done) + 1).otherwise(i)))
+
+    return F.aggregate(ids, F.array().cast("array<int>"), step)
+
+
+def scan_components(scans: DataFrame, frames: DataFrame) -> DataFrame:
+    """The components that each scan names: ``image_id, seq, place, component_id, ci, dc, ac``.
+
+    Repeated ids are told apart in the frame and in the scan by one rule: the largest id so far plus one. ``ci`` is null where a frame has
+    no such component, and in images without a frame; of several frames of an image the first counts. A scan has four selectors
+    at most and a frame 255 components, so both stay arrays until the end.
+    """
+    first = frames.groupBy("image_id").agg(F.min_by(F.transform("components", lambda c: c["component_id"]), "seq").alias("_ids"))
+    joined = scans.select("image_id", "seq", "comps").join(first, "image_id", "left")
+    joined = joined.withColumns({"_ids": distinct_ids("_ids"), "_named": distinct_ids(F.transform("comps", lambda c: c["component_id"]))})
+    place = lambda i: F.when(F.array_contains("_ids", i), F.array_position("_ids", i) - 1).cast("int")
+    told = F.zip_with("_named", "comps", lambda i, c: F.struct(i.alias("component_id"), place(i).alias("ci"), c["dc"].alias("dc"), c["ac"].alias("ac")))
+    rows = joined.select("image_id", "seq", F.posexplode_outer(told).alias("place", "_c")).filter("place IS NOT NULL")
+    return rows.select("image_id", "seq", "place", "_c.*")
+
+
+def missing_huffman(scans: DataFrame, htables: DataFrame, frames: DataFrame) -> DataFrame:
+    """Entropy tables that a scan needs and that no segment before it defines: ``image_id, scan_no, class, slot``.
+
+    Needs what ``latch_htables`` needs. Scans of arithmetic-coded frames need none.
+    """
+    from .frames import latch_htables
+
+    coded = frames.filter("arithmetic").select("image_id").distinct()
+    needed = latch_htables(scans.join(coded, "image_id", "left_anti"), htables)
+    return needed.filter(F.col("bits").isNull() | (F.col("slot") >= fixed.TABLE_SLOTS)).select("image_id", "scan_no", "class", "slot")
+
+
 def all_issues(*tables: DataFrame) -> DataFrame:
     """One log out of any number of findings."""
     return reduce(lambda a, b: a.unionByName(b), [t.select(*ISSUE_COLUMNS) for t in tables])
@@ -251,3 +284,18 @@ def corpus_audit(segs: DataFrame) -> DataFrame:
         as_issues(missing_tables(comps, tables), "missing_table", "error"),
         as_issues(hd.jfif(segs).filter("bad_version"), "jfif_version", "warning"),
     )
+
+
+def issue_log(segs: DataFrame) -> DataFrame:
+    """``corpus_audit`` and what needs scans, tables and components together: undefined entropy tables, selectors without a component,
+    bytes that belong to no segment, and damaged thumbnails."""
+    from . import headers as hd
+
+    frame_rows, scan_rows = hd.frames(segs), hd.scans(segs).withColumn("scan_no", F.lit(0))
+    return all_issues(
+        corpus_audit(segs),
+        as_issues(missing_huffman(scan_rows, hd.htables(segs), frame_rows), "missing_huffman", "error"),
+        as_issues(scan_components(scan_rows.join(frame_rows.select("image_id"), "image_id", "left_semi"), frame_rows).filter("ci IS NULL"), "bad_component_id", "error"),
+        as_issues(segs.filter("discarded > 0"), "discarded_bytes", "warning"),
+        as_issues(hd.jfif(segs).filter("bad_thumbnail"), "jfif_thumbnail", "warning"),
+    )
