@@ -101,7 +101,8 @@ def search(table: DataFrame, every: int = 100, k: int = 10, trees: int = 16, lea
     ``sample`` rows, drawn by a hash of the vector; every row is indexed. A query's leaves hold at least ``least`` rows or
     ``share`` of all, counted over the trees: with 16 trees, 0.8 reaches about a third to a half of the distinct rows, which vectors
     without any structure need for a recall of 0.9; clustered ones need far less. Vectors that are null or zero or hold null
-    or non-finite components take no part.
+    or non-finite components take no part. Of vectors of several lengths the commonest length takes part; of rows with one id,
+    the smallest vector. An empty table gives an empty result.
     """
     rows = usable(table)
     near = Window.partitionBy("v").orderBy("vec_id")
@@ -117,10 +118,12 @@ def search(table: DataFrame, every: int = 100, k: int = 10, trees: int = 16, lea
 
     def place(batches):
         for batch in batches:
-            for t, leaf_of in enumerate(forest.leaves(matrix(batch.column(0))).T):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(leaf_of), t, "i4")), pa.array(leaf_of)], names=["v", "ids", "tree", "leaf"])
+            leaves = pa.FixedSizeListArray.from_arrays(pa.array(forest.leaves(matrix(batch.column(0))).ravel()), trees).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["v", "ids", "leaves"])
 
-    placed = stored(entries.select("v", "ids").mapInArrow(place, "v array<double>, ids array<long>, tree int, leaf int"), "leaves")
+    # Stored once a vector, with its leaf in each tree; only the shuffle to the leaves has a row for each tree.
+    placed = stored(entries.select("v", "ids").mapInArrow(place, "v array<double>, ids array<long>, leaves array<int>"), "leaves")
+    placed = placed.select("v", "ids", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = np.zeros((trees, 2**depth), "i8")
     for r in placed.groupBy("tree", "leaf").count().collect():  # as many rows as the trees have leaves, bounded by the sample
         sizes[r["tree"], r["leaf"]] = r["count"]

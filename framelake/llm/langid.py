@@ -116,8 +116,8 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = 20_000, dim: int = 1
     """Prototypes of the languages named in ``label``, from about ``sample`` texts at most.
 
     Texts are drawn by a hash of the text, and copies of one text in one language count once, so no text that is repeated
-    without bound fills the sample. Rows with a null text or label teach nothing. What reaches the driver is ``dim`` sums
-    for each language.
+    without bound fills the sample. Rows with a null text or label teach nothing, and a table without any others gives no
+    prototype. Texts are read whole, long ones piece by piece. What reaches the driver is ``dim`` sums for each language.
     """
     rows = docs.select(F.col(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     total = rows.count()
@@ -176,12 +176,17 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
 
 
 def known_language(docs: DataFrame, prototypes: dict[str, np.ndarray], score: float = 0.2, length: int = 200) -> DataFrame:
-    """The documents that are in a language at all: they have letters and, if of ``length`` characters or more, this score.
+    """The documents that are in a language at all: they have letters, and their score reaches what n characters promise.
 
-    In short texts a low score says little, so they stay.
+    That is score * n / (n + length) at every n: the fewer sequences a text has, the less its cosine says. Null and empty texts
+    and texts without a letter go; copies and repeated ids are judged row by row. If nothing was learned, no text can be
+    rejected and all rows stay.
     """
+    if not prototypes:
+        return docs
     found = annotate(docs, prototypes)
-    good = (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= score) | (F.length("text") < length))
+    n = F.length(F.col("text").cast("string"))
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= score * n / (n + length))
     return found.filter(good).select(*docs.columns)
 
 

@@ -149,5 +149,10 @@ def pack(parts: DataFrame, size: int = 2048, many: int = 100_000) -> DataFrame:
 
 
 def best_fit(docs: DataFrame, tokenizer: str, end: int = 0, size: int = 2048) -> DataFrame:
-    """Documents to packed pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    return pack(stored(pieces(docs, tokenizer, end, size), "pieces"), size)
+    """Documents to packed pieces: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    Rows with one id, repeated rows and null ids are documents of their own; a null or empty text is one piece, the token ``end``.
+    Texts are encoded whole. An empty table gives an empty one.
+    """
+    numbered = pieces(docs, tokenizer, end, size).withColumn("_no", F.monotonically_increasing_id())  # equal rows fall into different shares
+    return pack(stored(numbered, "pieces"), size).drop("_no")

@@ -88,7 +88,8 @@ def top_products(table: DataFrame, every: int = 50, k: int = 5, probe: int = 102
 
     Queries are the rows whose id is divisible by ``every``; the row itself is no candidate. ``probe``: how many of the longest
     vectors set the first thresholds (they travel to every task: ``probe`` rows at most). ``block``: rows of a bucket block.
-    Vectors that are null or hold null or non-finite components take no part; zero vectors do. All vectors have one length.
+    Vectors that are null or hold null or non-finite components take no part; zero vectors do. Of vectors of several lengths the
+    commonest length takes part; of rows with one id, the smallest vector. An empty table gives an empty result.
     """
     rows = stored(grid(table), "grid")
     total = rows.count()

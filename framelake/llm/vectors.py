@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 def usable(table: DataFrame, vector: str = "embedding", zero: bool = False) -> DataFrame:
     """``vec_id, v`` (doubles) of rows whose id is given and whose vector has only finite components, ``zero`` ones if wanted.
 
-    Of several rows with one id, the smallest vector stands for it.
+    All that take part have one length, the commonest among these rows (of equally common ones the shortest): no distance or
+    product is defined between others. Of several rows with one id, the smallest vector stands for it.
     """
     v = F.col("v")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     if not zero:
         good &= F.exists(v, lambda x: x != 0)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & good)
+    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if common:
+        rows = rows.filter(F.size("v") == common["n"])
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
