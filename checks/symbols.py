@@ -151,7 +151,23 @@ def _(s, d):
     return sy.canonical_codes(htab(s, d))
 
 
-@register("optimal_lengths", "image_id cls slot symbol length")
+# Lengths from the counts of each table: the two smallest of a sorted list merge until one is left, and a symbol is as deep as the
+# merges it took part in. Depths over 16 are shortened pair by pair. The deepest place is that of the reserved symbol 256.
+BEST = f"""{DIFF}, {DC_COUNTS}, {ac_counts('fx_mblocks', 'CASE WHEN ci = 0 THEN 0 ELSE 1 END')},
+al AS (SELECT image_id, cls, slot, CAST(symbol AS INT) AS symbol, CAST(n AS BIGINT) AS n FROM (SELECT * FROM dc UNION ALL SELECT * FROM ac) WHERE n > 0),
+leaf AS (SELECT * FROM al UNION ALL SELECT DISTINCT image_id, cls, slot, 256, 1 FROM al),
+m AS (SELECT image_id, cls, slot, list_sort(list(struct_pack(n := n, k := -symbol, mem := [symbol]))) AS q, CAST([] AS INT[]) AS hit FROM leaf GROUP BY 1, 2, 3
+ UNION ALL SELECT image_id, cls, slot, list_sort(list_append(q[3:], struct_pack(n := q[1].n + q[2].n, k := q[1].k, mem := list_concat(q[1].mem, q[2].mem)))),
+  list_concat(q[1].mem, q[2].mem) FROM m WHERE len(q) > 1),
+depth AS (SELECT image_id, cls, slot, symbol, CAST(count(*) AS INT) AS depth FROM (SELECT image_id, cls, slot, unnest(hit) AS symbol FROM m) GROUP BY 1, 2, 3, 4),
+cutd AS (SELECT image_id, cls, slot, list_sort(list(depth)) AS l FROM depth GROUP BY 1, 2, 3
+ UNION ALL SELECT image_id, cls, slot, list_sort(list_concat(list_concat(r[:p - 1], r[p + 1:]), [top - 1, j + 1, j + 1]))
+ FROM (SELECT *, list_position(r, j) AS p FROM (SELECT image_id, cls, slot, l[:len(l) - 2] AS r, l[len(l)] AS top, list_max(list_filter(l, lambda x: x <= l[len(l)] - 2)) AS j FROM cutd WHERE l[len(l)] > 16))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls, slot ORDER BY depth, symbol) AS rank FROM depth WHERE symbol < 256),
+best AS (SELECT image_id, cls, slot, symbol, l[rank] AS length FROM ranked JOIN cutd USING (image_id, cls, slot) WHERE l[len(l)] <= 16)"""
+
+
+@register("optimal_lengths", "image_id cls slot symbol length", f"WITH RECURSIVE {BEST} SELECT * FROM best")
 def _(s, d):
     p, t = positioned(s, d), tables(s, d)
     return sy.optimal_lengths(sy.dc_symbol_counts(sy.dc_diff(p), t).unionByName(sy.ac_symbol_counts(p, t))).withColumnRenamed("class", "cls")
@@ -165,7 +181,10 @@ def _(s, d):
     return sy.table_symbols(t.withColumns({"class": F.lit(0), "slot": F.lit(0)})).withColumnRenamed("length", "len")
 
 
-@register("encoding_report", "image_id standard_bits optimal_bits saved_bits uncodable")
+@register("encoding_report", "image_id standard_bits optimal_bits saved_bits uncodable", f"""WITH RECURSIVE {BEST}, {STD},
+r AS (SELECT image_id, coalesce(sum(n * (len + symbol % 16)), 0) AS standard_bits, sum(n * (length + symbol % 16)) AS optimal_bits, coalesce(sum(n) FILTER (len IS NULL), 0) AS uncodable
+ FROM al JOIN best USING (image_id, cls, slot, symbol) LEFT JOIN std USING (cls, slot, symbol) GROUP BY 1)
+SELECT *, standard_bits - optimal_bits AS saved_bits FROM r""")
 def _(s, d):
     return sy.encoding_report(positioned(s, d), tables(s, d))
 

@@ -34,14 +34,16 @@ def attach(rows: DataFrame, side: DataFrame, band: Column, keys: list[str] | Non
 
 
 def samples_to_blocks(samples: DataFrame) -> DataFrame:
-    """Pack 8 x 8 blocks (pad edges first): 64 rows per group by construction. A sample that is missing is NULL in its place."""
+    """Pack 8 x 8 blocks (pad edges first). A sample that is missing is NULL in its place; of repeated ones the largest counts.
+
+    Each place is a maximum of its own, so samples of one block combine before the shuffle.
+    """
     keyed = samples.select(
         *PLANE, idiv("y", 8).cast("int").alias("by"), idiv("x", 8).cast("int").alias("bx"),
-        F.struct((F.col("y") % 8 * 8 + F.col("x") % 8).cast("int").alias("i"), F.col("v").alias("v")).alias("_s"),
+        (F.col("y") % 8 * 8 + F.col("x") % 8).cast("int").alias("_i"), "v",
     )
-    packed = keyed.groupBy(*PLANE, "by", "bx").agg(F.map_from_entries(F.collect_list("_s")).alias("_m"))
-    places = F.sequence(F.lit(0), F.lit(63))
-    return packed.select(*PLANE, "by", "bx", F.transform(places, lambda i: F.try_element_at("_m", i)).alias("s"))
+    packed = keyed.groupBy(*PLANE, "by", "bx").agg(*[F.max(F.when(F.col("_i") == i, F.col("v"))).alias(f"_{i}") for i in range(64)])
+    return packed.select(*PLANE, "by", "bx", F.array(*[f"_{i}" for i in range(64)]).alias("s"))
 
 
 def blocks_to_samples(blocks: DataFrame, values: str = "s", nx: int = 8, ny: int = 8) -> DataFrame:

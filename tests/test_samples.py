@@ -59,3 +59,9 @@ def test_pipeline_is_close(spark):
     j = df.alias("a").join(back.alias("b"), ["image_id", "y", "x"])
     assert j.count() == 37 * 29
     assert j.selectExpr("greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) AS e").agg(F.avg("e")).first()[0] < 4
+
+
+def test_repeated_and_missing_samples(spark):
+    rows = [(1, 0, 0, 0, 5), (1, 0, 0, 0, 9), (1, 0, 0, 0, 5), (1, 0, 9, 8, 3), (1, 0, 0, 1, None)]
+    got = {(r.by, r.bx): r.s for r in sa.samples_to_blocks(spark.createDataFrame(rows, "image_id long, ci int, y int, x int, v int")).collect()}
+    assert got == {(0, 0): [9] + [None] * 63, (1, 1): [None] * 8 + [3] + [None] * 55}
