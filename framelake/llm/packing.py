@@ -12,6 +12,7 @@ Ranks are dealt in shares: a length that holds most pieces is numbered by many t
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,16 +22,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, batch_of, by_rows, stored
-from .words import BYTE_BPE, cutter
+from .words import BYTE_BPE, cutter, visible
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
 
 @functools.cache
 def _ids(path: str) -> Memo:
-    """Token ids of words as little-endian unsigned 32-bit numbers."""
-    tok = cutter(path, BYTE_BPE).tok
-    return Memo(lambda words: [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+    """Token ids of words as little-endian unsigned 32-bit numbers.
+
+    The words are cut already, so the library's merges run on them without its normaliser and pre-tokenizer.
+    """
+    cut_words = cutter(path, BYTE_BPE)
+    tok, model, special = cut_words.tok, cut_words.tok.model, cut_words.special
+
+    def ids(word: str) -> bytes:
+        if special is not None and "<|" in word and special.fullmatch(word):
+            found = [tok.token_to_id(word)]
+        else:
+            found = [t.id for t in model.tokenize(visible(word))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    return Memo(lambda words: [ids(w) for w in words])
 
 
 def cut(n: int, size: int) -> Iterator[tuple[int, int]]:

@@ -64,6 +64,21 @@ def split_spans(tok, normal: str) -> list[tuple[int, int]]:
     return [span for _, span in tok.pre_tokenizer.pre_tokenize_str(normal)]
 
 
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in byte-level vocabularies: visible Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
+def visible(word: str) -> str:
+    """The UTF-8 bytes of a word in the signs of a byte-level vocabulary."""
+    return word.encode().decode("latin-1").translate(BYTE_SIGNS)
+
+
 @functools.cache
 def cutter(path: str, pattern: str) -> Cutter:
     return Cutter(load(path), pattern)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers.pre_tokenizers import ByteLevel
 
 from framelake.llm import bpe, counts, packing, words
 from framelake.llm.queries import tokenizer
@@ -71,6 +72,14 @@ def test_counts_over_a_table(spark):
     assert counts.token_counts(docs.limit(0), WORD).count() == 0
 
 
+def test_word_ids_equal_the_library():
+    cut, memo, tok = words.cutter(BYTE, words.BYTE_BPE), packing._ids(BYTE), words.load(BYTE)
+    assert sorted(words.BYTE_SIGNS.values()) == sorted(ByteLevel.alphabet())
+    for s in [*odd_texts(3000), "ab" * 3000, "a" * 5000, " " * 3000, "".join(map(chr, range(0x250)))]:
+        known = memo.fill([cut(s)])
+        assert b"".join(known[w] for w in cut(s)) == np.array(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("size", [2048, 64])
 def test_packing_keeps_every_token(spark, size):
     docs, tok = plain.docs(spark), words.load(BYTE)
