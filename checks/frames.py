@@ -154,6 +154,21 @@ def _(s, d):
     return sc.script_violations(pscans(s, d), 5)
 
 
+@register("table_issues", "image_id issue:s severity:s", """
+WITH e AS (SELECT image_id, scan_no, ss, ah, al, unnest(comps) AS ci, se FROM fx_pscans),
+k AS (SELECT *, unnest(range(ss, se + 1)) AS coef FROM e),
+l AS (SELECT *, lag(al) OVER (PARTITION BY image_id, ci, coef ORDER BY scan_no) AS pal FROM k),
+m AS (SELECT o_custkey AS image_id, o_orderkey % 8 AS number, lag(o_orderkey % 8) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pn FROM orders)
+SELECT DISTINCT image_id, 'bad_bits' AS issue, 'error' AS severity FROM l WHERE (pal IS NULL AND ah <> 0) OR (pal IS NOT NULL AND (ah <> pal OR al <> ah - 1))
+UNION ALL SELECT DISTINCT image_id, 'ac_before_dc', 'error' FROM e WHERE ss > 0 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.image_id = e.image_id AND x.ci = e.ci AND x.ss = 0 AND x.scan_no < e.scan_no)
+UNION ALL SELECT DISTINCT image_id, 'bad_order', 'error' FROM fx_pscans WHERE len(comps) = 2
+UNION ALL SELECT DISTINCT image_id, 'bad_range', 'error' FROM fx_pscans WHERE len(comps) = 2
+UNION ALL SELECT DISTINCT image_id, 'restart_gap', 'warning' FROM m WHERE number <> coalesce((pn + 1) % 8, 0)""")
+def _(s, d):
+    markers = table(s, d, "orders").selectExpr("o_custkey AS image_id", "o_orderkey AS seq", "o_orderkey % 8 AS number")
+    return au.table_issues(pscans(s, d), markers)
+
+
 for progressive, rule in ((True, "count(*) FILTER (ss = 0) > 0"), (False, "count(ss) = 1")):
     @register(f"script_coverage_{'progressive' if progressive else 'sequential'}", "image_id ci ok:b", f"""
 WITH e AS (SELECT image_id, ss, unnest(comps) AS ci FROM fx_pscans)

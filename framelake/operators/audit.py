@@ -286,9 +286,24 @@ def corpus_audit(segs: DataFrame) -> DataFrame:
     )
 
 
-def issue_log(segs: DataFrame) -> DataFrame:
+def table_issues(scripts: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """Findings over what the headers of a file don't hold: scan scripts (as ``script_violations`` reads them) and restart markers (as
+    ``restart_gaps`` does). One row per image and issue; a table that is not given has no findings, but one must be."""
+    from .scans import script_violations
+
+    if scripts is None and markers is None:
+        raise ValueError("scripts or markers must be given")
+    found = []
+    if scripts is not None:
+        found.append(script_violations(scripts).select("image_id", "issue").distinct().withColumn("severity", F.lit("error")))
+    if markers is not None:
+        found.append(as_issues(restart_gaps(markers), "restart_gap", "warning"))
+    return all_issues(*found)
+
+
+def issue_log(segs: DataFrame, scripts: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
     """``corpus_audit`` and what needs scans, tables and components together: undefined entropy tables, selectors without a component,
-    bytes that belong to no segment, and damaged thumbnails."""
+    bytes that belong to no segment, and damaged thumbnails. Scripts and restart markers, where given, add ``table_issues``."""
     from . import headers as hd
 
     frame_rows, scan_rows = hd.frames(segs), hd.scans(segs).withColumn("scan_no", F.lit(0))
@@ -298,4 +313,5 @@ def issue_log(segs: DataFrame) -> DataFrame:
         as_issues(scan_components(scan_rows.join(frame_rows.select("image_id"), "image_id", "left_semi"), frame_rows).filter("ci IS NULL"), "bad_component_id", "error"),
         as_issues(segs.filter("discarded > 0"), "discarded_bytes", "warning"),
         as_issues(hd.jfif(segs).filter("bad_thumbnail"), "jfif_thumbnail", "warning"),
+        *([] if scripts is None and markers is None else [table_issues(scripts, markers)]),
     )
