@@ -27,12 +27,18 @@ def basis(n: int, forward: bool) -> np.ndarray:
     return out
 
 
-def _times(matrix: np.ndarray, before: float, after: float):
-    """Arrow function on lists of equal length: (list + before) times the matrix, plus after. NULL stays NULL."""
+def _times(matrix: np.ndarray, before: float, after: float, missing: float | None = None):
+    """Arrow function on lists of equal length: (list + before) times the matrix, plus after. NULL stays NULL.
+
+    ``missing`` stands in for NULL values of a list, which without it make the whole list NaN.
+    """
 
     def apply(lists: pa.Array) -> pa.Array:
         valid = lists.is_valid().to_numpy(zero_copy_only=False)
-        flat = lists.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        flat = lists.drop_null().flatten()
+        if missing is not None:
+            flat = flat.fill_null(missing)
+        flat = flat.to_numpy(zero_copy_only=False).astype(np.float64)
         result = (flat.reshape(-1, matrix.shape[0]) + before) @ matrix + after
         width = matrix.shape[1]
         ends = np.concatenate(([0], np.cumsum(valid * width))).astype(np.int32)
@@ -43,9 +49,9 @@ def _times(matrix: np.ndarray, before: float, after: float):
 
 
 def fdct(samples, nx: int = 8, ny: int = 8) -> Column:
-    """64 coefficients of nx*ny samples (row by row), after subtracting 128."""
+    """64 coefficients of nx*ny samples (row by row), after subtracting 128. A NULL sample adds nothing to any of them."""
     matrix = np.kron(basis(ny, True), basis(nx, True)).T
-    return _times(matrix, -128.0, 0.0)(col(samples).cast("array<double>"))
+    return _times(matrix, -128.0, 0.0, missing=128.0)(col(samples).cast("array<double>"))
 
 
 def idct(coefs, nx: int = 8, ny: int = 8) -> Column:

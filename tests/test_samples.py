@@ -65,3 +65,27 @@ def test_repeated_and_missing_samples(spark):
     rows = [(1, 0, 0, 0, 5), (1, 0, 0, 0, 9), (1, 0, 0, 0, 5), (1, 0, 9, 8, 3), (1, 0, 0, 1, None)]
     got = {(r.by, r.bx): r.s for r in sa.samples_to_blocks(spark.createDataFrame(rows, "image_id long, ci int, y int, x int, v int")).collect()}
     assert got == {(0, 0): [9] + [None] * 63, (1, 1): [None] * 8 + [3] + [None] * 55}
+
+
+def test_missing_samples_add_nothing(spark):
+    df = spark.createDataFrame([(1, [None] * 63 + [200]), (2, [128] * 63 + [200]), (3, [None] * 64)], "i int, s array<int>")
+    got = {r.i: r.f for r in df.select("i", dct.fdct("s").alias("f")).collect()}
+    assert got[1] == got[2] and got[3] == [0.0] * 64
+
+
+def test_image_cut_off_inside_a_unit(spark, tmp_path):
+    """An image that ends inside a unit goes through, and its blocks equal the SQL twin."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    vectors = spark.range(29).selectExpr("id AS vec_id", "transform(sequence(0, 63), i -> CAST((id * 37 + i * i * 11) % 200 / 400.0 - 0.25 AS FLOAT)) AS embedding")
+    vectors.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    queries, sql = e.queries(), e.oracle_sql()
+    for name in ("pixels_to_blocks", "block_zero_share"):
+        got = sorted(tuple(r) for r in queries[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(sql[name]).fetchall())
+    pixels = queries["blocks_to_pixels"](spark, str(tmp_path))
+    assert pixels.count() == pixels.dropDuplicates(["image_id", "y", "x"]).count() == 48 * 32 + 48 * 8 + 32 * 8
