@@ -108,15 +108,29 @@ def script_coverage(scans: DataFrame, comps: DataFrame, progressive: bool) -> Da
 def coef_accuracy(scans: DataFrame, comps: DataFrame) -> DataFrame:
     """Bit position each coefficient is known to, -1 if never sent: ``image_id, ci, coef, al``.
 
-    The never-sent default joins the data as one more pass in front, so an aggregate does it without a join.
+    The never-sent default is one more pass in front of the others. Of the passes of a component over the same range the last
+    stays, so a valid script leaves 2,080 at most; these are one array, which is cut where a pass starts or ends. Single
+    coefficients are only told at the very end.
     """
-    last = _ranges(scans).groupBy("image_id", "ci", "from", "to").agg(F.max_by("al", "scan_no").alias("al"), F.max("scan_no").alias("scan_no"))
-    sent = last.select("image_id", "ci", F.explode(F.sequence("from", "to")).alias("coef"), "scan_no", "al")
-    grid = comps.select(
-        "image_id", "ci", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("coef"),
-        F.lit(-1).alias("scan_no"), F.lit(-1).alias("al"),
-    )
-    return sent.unionByName(grid).groupBy("image_id", "ci", "coef").agg(F.max_by("al", "scan_no").alias("al"))
+    members = scans.filter(F.col("se") >= F.col("ss")).withColumn("ci", F.explode("comps")).filter("image_id IS NOT NULL AND ci IS NOT NULL")
+    last = members.groupBy("image_id", "ci", "ss", "se").agg(F.max_by("al", "scan_no").alias("al"), F.max("scan_no").alias("scan_no"))
+    never = comps.select("image_id", "ci", F.lit(0).alias("ss"), F.lit(63).alias("se"), F.lit(-1).alias("al"), F.lit(-1).alias("scan_no"))
+    # Sent as they are: a group of its own per component and task would only fill memory.
+    passes = last.unionByName(never).repartition("image_id", "ci")
+    newest = F.sort_array(F.collect_set(F.struct("scan_no", "ss", "se", "al")), asc=False)
+    known = passes.groupBy("image_id", "ci").agg(newest.alias("_p"))
+    ends = F.flatten(F.transform("_p", lambda p: F.array(p["ss"], p["se"] + 1)))
+    known = known.withColumn("_cuts", F.array_sort(F.array_distinct(ends)))
+
+    def stretch(start: Column, i: Column) -> Column:
+        sent = F.get(F.filter("_p", lambda p: (p["ss"] <= start) & (p["se"] >= start)), F.lit(0))
+        return F.struct(start.alias("_from"), (F.get("_cuts", i + 1) - 1).alias("_to"), sent.alias("_sent"))
+
+    stretches = F.filter(F.transform("_cuts", stretch), lambda t: t["_sent"].isNotNull())
+    # The outer form keeps the optimizer from cutting the array a second time in a filter in front.
+    told = known.select("image_id", "ci", F.explode_outer(stretches).alias("_t")).filter("_t IS NOT NULL")
+    told = told.select("image_id", "ci", "_t._from", "_t._to", F.col("_t._sent.al").alias("al"))
+    return told.select("image_id", "ci", F.explode_outer(F.sequence("_from", "_to")).alias("coef"), "al")
 
 
 def smoothing_ok(accuracy: DataFrame, latched: DataFrame) -> DataFrame:
