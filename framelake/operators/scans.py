@@ -135,14 +135,15 @@ def coef_accuracy(scans: DataFrame, comps: DataFrame) -> DataFrame:
 
 def smoothing_ok(accuracy: DataFrame, latched: DataFrame) -> DataFrame:
     """Whether block smoothing helps an image: all six low quantisers non-zero and DC known in every component, and
-    at least one of the first five AC coefficients not exact."""
+    at least one of the first five AC coefficients not exact. Of a table only the verdict moves, not its 64 values."""
     low = accuracy.filter(F.col("coef") <= 5).groupBy("image_id", "ci").agg(
         F.min(F.when(F.col("coef") == 0, F.col("al"))).alias("_dc"),
         F.max((F.col("coef") > 0) & (F.col("al") != 0)).alias("_inexact"),
     )
-    zero = F.exists(F.array(*[F.col("q")[i] for i in (0, 1, 8, 16, 9, 2)]), lambda x: x == 0)
-    joined = low.join(latched.select("image_id", "ci", "q"), ["image_id", "ci"], "left")
-    usable = F.col("q").isNotNull() & ~zero & (F.col("_dc") >= 0)
+    zero = F.exists(F.array(*[F.get("q", F.lit(i)) for i in (0, 1, 8, 16, 9, 2)]), lambda x: x == 0)
+    tables = latched.select("image_id", "ci", (F.col("q").isNotNull() & ~zero).alias("_divides"))
+    joined = low.join(tables, ["image_id", "ci"], "left")
+    usable = F.col("_divides") & (F.col("_dc") >= 0)
     return joined.groupBy("image_id").agg(
         (F.bool_and(F.coalesce(usable, F.lit(False))) & F.bool_or("_inexact")).alias("smoothing_ok")
     )

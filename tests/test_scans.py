@@ -43,3 +43,13 @@ def test_accuracy_groups_no_coefficients(spark):
     _, _, scans, listed = odd_scans(spark)
     plan = optimized(sc.coef_accuracy(scans, listed))
     assert "Aggregate" in plan and not re.search(r"Aggregate \[[^]]*coef#", plan)
+
+
+def test_smoothing_moves_no_tables(spark):
+    _, _, scans, listed = odd_scans(spark)
+    scans, listed = scans.union(spark.createDataFrame([(100, 0, [0], 0, 0, 0, 1)], SCANS)), listed.union(spark.createDataFrame([(100, 0)], listed.schema))
+    rows = [(100, 0, 0, [3] * 64)] + [(i, c, c, None if i % 9 == 0 else [0 if i % 6 == 0 and k == 8 else 3 for k in range(64)]) for i in range(50) for c in range(4)]
+    latched = spark.createDataFrame(rows, "image_id long, ci int, tq int, q array<int>")
+    df = sc.smoothing_ok(sc.coef_accuracy(scans, listed), latched)
+    assert not re.search(r"Project \[[^\n]*\bq#\d+\]", optimized(df))
+    assert {r.smoothing_ok for r in df.collect()} == {True, False}
