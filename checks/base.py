@@ -124,6 +124,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str = "image_id") -> DataFrame:
+    """The same rows dealt to four tasks a core: a source table may be one small file whose rows grow many-fold."""
+    return df.repartition(max(16, 4 * df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def duck(body: str) -> str:
     """Prefix the derived inputs that ``body`` mentions."""
     ctes = [f"{n} AS ({re.sub(r'{(\w+)}', r'\1', text)})" for n, text in _needed(body, {}).items()]

@@ -8,7 +8,7 @@ from framelake.operators import frames as fr
 from framelake.operators import requests as rq
 from framelake.operators import scans as sc
 
-from .base import SPLIT, both, register, spark_fx, table
+from .base import SPLIT, both, register, spark_fx, spread, table
 
 _PSCANS = """SELECT CAST(o_custkey AS BIGINT) AS image_id, CAST(o_orderkey AS BIGINT) AS seq,
  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS scan_no,
@@ -127,7 +127,7 @@ script AS (SELECT image_id, scan_no, comps, ss, se, ah, al FROM f JOIN ycc ON cs
 
 def script(s, d):
     i = F.col("image_id")
-    t = spark_fx(s, d, "fx_images").select("image_id", F.when(i % 4 == 0, 3).otherwise((1 + i % 6).cast("int")).alias("ncomp"), F.when(i % 4 == 0, "ycc").otherwise("other").alias("color_space"))
+    t = spread(spark_fx(s, d, "fx_images").select("image_id")).select("image_id", F.when(i % 4 == 0, 3).otherwise((1 + i % 6).cast("int")).alias("ncomp"), F.when(i % 4 == 0, "ycc").otherwise("other").alias("color_space"))
     return sc.progressive_script(t)
 
 

@@ -53,3 +53,12 @@ def test_smoothing_moves_no_tables(spark):
     df = sc.smoothing_ok(sc.coef_accuracy(scans, listed), latched)
     assert not re.search(r"Project \[[^\n]*\bq#\d+\]", optimized(df))
     assert {r.smoothing_ok for r in df.collect()} == {True, False}
+
+
+def test_reduced_script_is_made_by_many_tasks(spark):
+    """A part is one narrow row of a small file and several scans, so its rows are dealt out before they grow."""
+    plan = entry.queries()["reduce_script"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    scans = spark.range(3000).select((F.col("id") % 3).alias("image_id"), (F.col("id") / 3).cast("int").alias("scan_no"), F.array(F.lit(0)).alias("comps"), (F.col("id") % 5).cast("int").alias("ss"), F.lit(63).alias("se"), F.lit(0).alias("ah"), F.lit(0).alias("al"))
+    got = sc.reduce_script(scans, 2, 4).collect()
+    assert sorted((r.image_id, r.scan_no) for r in got) == [(i, n) for i in range(3) for n in range(600)]
