@@ -6,7 +6,7 @@ from framelake.functions import blocks as fb
 from framelake.functions import fixed
 from framelake.operators import symbols as sy
 
-from .base import SPLIT, register, spark_fx, table
+from .base import SPLIT, register, spark_fx, spread, table
 from .blocks import ZZ
 
 # Three-component images of 29 x 27 samples seen as 2 units a row; a gray twin with 5 blocks a row.
@@ -133,7 +133,7 @@ def _(s, d):
 
 
 def htab(s, d):
-    t = spark_fx(s, d, "fx_images")
+    t = spread(spark_fx(s, d, "fx_images").select("image_id"))
     arr = lambda v: F.array(*[F.lit(int(x)) for x in v])
     odd = F.col("image_id") % 2 == 1
     broken = F.col("image_id") % 10 == 0

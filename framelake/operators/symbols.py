@@ -199,45 +199,43 @@ def pass_counts(blocks: DataFrame, passes=YCC_FIRST_PASSES, chunk: float = 65536
 # --- code tables ---------------------------------------------------------------------------------------
 
 
-def _codes(bits: Column, vals: Column) -> Column:
-    """Canonical codes: the first code of a length is the sum of the shorter counts, each shifted up to it."""
-    lengths = F.sequence(F.lit(1), F.lit(16))
-
-    def shorter(l: Column) -> Column:
-        return F.filter(lengths, lambda k: k < l)
-
-    def at_length(l: Column) -> Column:
-        first = F.aggregate(
-            shorter(l), F.lit(0).cast("bigint"),
-            lambda a, k: a + F.get(bits, k - 1) * F.pow(F.lit(2), l - k).cast("bigint"),
-        )
-        skipped = F.aggregate(shorter(l), F.lit(0), lambda a, k: a + F.get(bits, k - 1))
-        head = F.struct(first.alias("first"), skipped.alias("skipped"), F.get(bits, l - 1).alias("n"))
-        return let(
-            head,
-            lambda s: F.transform(
-                F.when(s["n"] > 0, F.sequence(F.lit(0), s["n"] - 1)).otherwise(F.array().cast("array<int>")),
-                lambda j: F.struct(
-                    F.get(vals, s["skipped"] + j).alias("symbol"), l.alias("length"), (s["first"] + j).alias("code"),
-                    (s["first"] + s["n"] < F.pow(F.lit(2), l).cast("bigint")).alias("fits"),
-                ),
-            ),
+def _code_heads(bits: Column) -> Column:
+    """Per length with symbols: the first code, which is the sum of the shorter counts, each shifted up to it, how many
+    symbols come before, and how many have this length. At most 16 entries."""
+    kind = "array<struct<_length:int,_first:bigint,_skipped:int,_n:int>>"
+
+    def step(state: Column, l: Column) -> Column:
+        n = F.get(bits, l - 1).cast("int")
+        head = F.struct(l.alias("_length"), state["first"].alias("_first"), state["skipped"].alias("_skipped"), n.alias("_n"))
+        return F.struct(
+            ((state["first"] + n) * 2).alias("first"), (state["skipped"] + n).alias("skipped"),
+            F.when(n > 0, F.concat(state["heads"], F.array(head)).cast(kind)).otherwise(state["heads"]).alias("heads"),
         )
 
-    return F.flatten(F.transform(lengths, at_length))
+    start = F.struct(F.lit(0).cast("bigint").alias("first"), F.lit(0).alias("skipped"), F.array().cast(kind).alias("heads"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, step, lambda state: state["heads"])
 
 
 def canonical_codes(htables: DataFrame) -> DataFrame:
     """Code of every symbol of each table, with ``ok``: all codes fit and none is all ones, symbols are unique, and DC
-    symbols are at most 15. A table is one row, so this is a projection and an explode."""
+    symbols are at most 15. A table is one row, so this is a projection and two explodes: into code lengths, then symbols."""
     keys = [c for c in htables.columns if c not in ("bits", "vals")]
-    coded = htables.withColumn("_c", _codes(F.col("bits"), F.col("vals")))
-    fits = F.forall("_c", lambda c: c["fits"] & c["symbol"].isNotNull())
-    symbols = F.transform("_c", lambda c: c["symbol"])
-    unique = F.size(F.array_distinct(symbols)) == F.size(symbols)
-    legal = F.forall(symbols, lambda x: (F.col("class") == 1) | (x <= 15))
-    out = coded.withColumn("ok", F.coalesce(fits & unique & legal, F.lit(False)))
-    return out.select(*keys, "ok", F.inline_outer("_c")).filter("length IS NOT NULL").drop("fits")
+    headed = htables.withColumn("_heads", _code_heads(F.col("bits")))
+    fits = F.forall("_heads", lambda s: (s["_skipped"] >= 0) & (s["_first"] + s["_n"] < F.pow(F.lit(2), s["_length"]).cast("bigint")))
+    total = F.aggregate("_heads", F.lit(0), lambda a, s: a + s["_n"])
+    ends = F.array_max(F.transform("_heads", lambda s: s["_skipped"] + s["_n"]))  # less than the total if a count is negative
+    sized = headed.withColumns({"_total": total, "_symbols": F.slice("vals", F.lit(1), F.greatest(ends, F.lit(0)))})
+    # The set difference leaves each symbol once and no NULL.
+    unique = F.size(F.array_except("_symbols", F.array(F.lit(None)).cast(htables.schema["vals"].dataType.simpleString()))) == F.col("_total")
+    whole = (ends == F.col("_total")) & unique
+    legal = (F.col("class") == 1) | (F.array_max("_symbols") <= 15)
+    judged = sized.withColumn("ok", F.coalesce(fits & whole & legal, F.lit(False)))
+    # Outer forms: inner ones would compute the array a second time in a filter in front.
+    per_length = judged.select(*keys, "ok", "vals", F.inline_outer("_heads")).filter("_n IS NOT NULL")
+    placed = per_length.select("*", F.explode_outer(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
+    return placed.select(
+        *keys, "ok", F.get("vals", F.col("_skipped") + F.col("_j")).alias("symbol"), F.col("_length").alias("length"), (F.col("_first") + F.col("_j")).alias("code")
+    )
 
 
 def _code_lengths(symbols: list[int], counts: list[int]) -> dict[int, int]:

@@ -110,3 +110,25 @@ def test_unlisted_components_keep_their_counts(spark):
             found[r.image_id, r.slot] = found.get((r.image_id, r.slot), 0) + r.n
         assert found == {(1, 0): each, (1, None): each, (2, None): each}
     assert {r.image_id: r.uncodable for r in sy.encoding_report(blocks, comps).collect()} == {1: 3, 2: 3}
+
+
+def test_codes_of_odd_tables(spark):
+    """Counts below zero, missing counts and missing or NULL symbols: the table is not ok, its codes are still told."""
+    flat = lambda *head: [*head, *[0] * (16 - len(head))]
+    rows = [
+        (0, 1, flat(0, 2, 1), [5, 6, 7]), (1, 1, flat(0, 2, 1), [5, 6]), (2, 1, flat(0, 2, 1), [5, None, 7]), (3, 1, flat(0, 2, -1, 1), [5, 6, 7]),
+        (4, 1, [0, 1, None, 1], [5, 6]), (5, 1, None, [5]), (6, 1, flat(0, 1), None), (7, 0, flat(0, 1), [16]), (8, None, flat(0, 1), [3]), (9, 1, flat(0, 2), [4, 4]),
+        (10, 1, flat(1, 1, 1), [1, 2, 3]), (11, 1, flat(2), [1, 2]),
+    ]
+    got = sy.canonical_codes(spark.createDataFrame(rows, "t int, class int, bits array<int>, vals array<int>")).collect()
+    assert {r.t for r in got if r.ok} == {0, 8, 10} and not [r for r in got if r.t == 5]
+    assert [(r.symbol, r.length, r.code) for r in got if r.t == 1] == [(5, 2, 0), (6, 2, 1), (None, 3, 4)]
+    assert [(r.symbol, r.length, r.code) for r in got if r.t == 4] == [(5, 2, 0), (None, 4, None)]
+
+
+def test_codes_are_made_by_many_tasks(spark):
+    """A part is one narrow row of a small file and up to 162 codes."""
+    import __spark_entry__ as entry
+    from tests.conftest import SF
+
+    assert entry.queries()["canonical_codes"](spark, SF).rdd.getNumPartitions() >= 16
