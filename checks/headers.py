@@ -14,7 +14,7 @@ from framelake.plans import jobs
 from framelake.session import checkpoint_dir
 from framelake.sources import ranges
 
-from .base import register, spark_fx, table
+from .base import register, spark_fx, spread, table
 
 _ZEROS = "".join("%02X" % v for v in (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0))
 _DC = "".join("%02X" % v for v in range(12))
@@ -67,13 +67,14 @@ _PARTS = f"""'FFD8',
 
 def files(s, d):
     """fx_headers: one small image file per part, plus one that is not an image."""
-    base = spark_fx(s, d, "fx_images")
+    base = spread(spark_fx(s, d, "fx_images"))
     values = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex((F.col("image_id") + i) % 255 + 1), 2, "0")), "")
     text = F.expr(f"concat({_PARTS})")
     made = base.withColumn("repeat_hex", values).withColumn("content", F.unhex(text))
     broken = F.when(F.col("image_id") % 97 == 0, F.lit(b"GIF89a")).otherwise(F.col("content"))
-    # Files of a real folder are spread over the tasks, too; the source table is a single Parquet row group.
-    return made.withColumn("content", broken).drop("repeat_hex").repartition(16)
+    # Files of a real folder are spread over the tasks, too; the source table may be a single Parquet row group, so its rows are dealt
+    # out before the files are made. The outer generator keeps later filters from making the content again in front of it.
+    return made.select(*base.columns, F.explode_outer(F.array(broken)).alias("content"))
 
 
 def segs(s, d):

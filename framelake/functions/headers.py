@@ -179,8 +179,8 @@ QTABLE_TYPE = "array<struct<slot:int,precision:int,q:array<int>>>"
 HTABLE_TYPE = "array<struct<class:int,slot:int,bits:array<int>,vals:array<int>>>"
 
 
-def dqt(payload) -> Column:
-    """Quantiser tables of one segment, in natural order. A short table is padded with 1."""
+def dqt(payload, values: bool = True) -> Column:
+    """Quantiser tables of one segment, in natural order. A short table is padded with 1. Without ``values`` ``q`` stays NULL."""
     p = col(payload)
     size = F.length(p)
 
@@ -194,14 +194,14 @@ def dqt(payload) -> Column:
         def table(head: Column) -> Column:
             width = head["wide"] + 1
             count = F.least(F.lit(64), idiv(size - state["pos"] - 1, width))
-            values = F.transform(
+            numbers = lambda: F.transform(
                 ranks(count),
                 lambda z: F.when(
                     z < count,
                     F.when(head["wide"] == 0, u8(p, state["pos"] + 1 + z)).otherwise(u16(p, state["pos"] + 1 + z * 2)),
                 ).otherwise(F.lit(1).cast("bigint")),
             )
-            entry = F.struct(head["slot"].alias("slot"), (head["wide"] * 8 + 8).alias("precision"), values.alias("q"))
+            entry = F.struct(head["slot"].alias("slot"), (head["wide"] * 8 + 8).alias("precision"), (numbers() if values else F.lit(None)).alias("q"))
             return F.struct(
                 (state["pos"] + 1 + F.greatest(count, F.lit(0)) * width).cast("bigint").alias("pos"),
                 F.concat(state["out"], F.array(entry).cast(QTABLE_TYPE)).alias("out"),
@@ -222,8 +222,8 @@ def dqt(payload) -> Column:
     )
 
 
-def dht(payload) -> Column:
-    """Entropy tables of one segment: class (0 DC, 1 AC), slot, 16 length counts, symbols."""
+def dht(payload, values: bool = True) -> Column:
+    """Entropy tables of one segment: class (0 DC, 1 AC), slot, 16 length counts, symbols (NULL without ``values``)."""
     p = col(payload)
     size = F.length(p)
 
@@ -231,7 +231,7 @@ def dht(payload) -> Column:
         def table(bits: Column) -> Column:
             first = u8(p, state["pos"])
             total = F.aggregate(bits, F.lit(0), lambda a, b: a + b)
-            vals = F.transform(_indices(total), lambda i: u8(p, state["pos"] + 17 + i).cast("int"))
+            vals = F.transform(_indices(total), lambda i: u8(p, state["pos"] + 17 + i).cast("int")) if values else F.lit(None)
             entry = F.struct(
                 F.shiftright(first, 4).bitwiseAND(1).cast("int").alias("class"),
                 (first - F.when(first.bitwiseAND(16) > 0, F.lit(16)).otherwise(F.lit(0))).cast("int").alias("slot"),

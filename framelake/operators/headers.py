@@ -33,13 +33,13 @@ def scans(segs: DataFrame) -> DataFrame:
     return found.select("image_id", "seq", h.sos("payload").alias("_s")).select("image_id", "seq", "_s.*")
 
 
-def qtables(segs: DataFrame) -> DataFrame:
-    found = segs.filter(F.col("marker") == fixed.DQT).select("image_id", "seq", h.dqt("payload").alias("_t"))
+def qtables(segs: DataFrame, values: bool = True) -> DataFrame:
+    found = segs.filter(F.col("marker") == fixed.DQT).select("image_id", "seq", h.dqt("payload", values).alias("_t"))
     return found.select("image_id", "seq", F.inline_outer("_t")).filter("slot IS NOT NULL")
 
 
-def htables(segs: DataFrame) -> DataFrame:
-    found = segs.filter(F.col("marker") == fixed.DHT).select("image_id", "seq", h.dht("payload").alias("_t"))
+def htables(segs: DataFrame, values: bool = True) -> DataFrame:
+    found = segs.filter(F.col("marker") == fixed.DHT).select("image_id", "seq", h.dht("payload", values).alias("_t"))
     return found.select("image_id", "seq", F.inline_outer("_t")).filter("slot IS NOT NULL")
 
 
