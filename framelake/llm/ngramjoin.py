@@ -10,8 +10,13 @@ in both classes; around the limit they have both kinds of key, wide enough that
 The extension also tells who has no partner: a document of whose prefix too few tokens stand in any other prefix goes.
 
 Documents that share a key stand in one canopy. Neighbours by size within a key are linked, never all pairs: a canopy is
-a connected component of these links, and two documents of different canopies cannot be similar. Within a canopy all overlaps
-are counted exactly. Canopies too large for a task are cut into blocks, and every two blocks meet in a task.
+a connected component of these links, and two documents of different canopies cannot be similar. One token by chance is
+enough for a link, so canopies grow together as a corpus grows. Those of many documents are therefore parted again, by keys that
+chance does not share: a set's tokens are dealt to somewhat more parts, by hash, than two similar sets differ in tokens, so they
+have some parts in common as a whole. A document without enough such parts goes; neighbours by size within a part are linked.
+
+Within a canopy all overlaps are counted exactly. Canopies too large for a task are cut into blocks, and every two blocks meet in
+a task.
 
 Documents with the same token set are one entry throughout.
 """
@@ -38,6 +43,7 @@ TOLD = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s
 KEYS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("kind", pa.int32())])
 RARE, OTHER = -1, -2  # kinds of key; a set's row of its own has the number of frequent tokens in its prefix instead
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+DEALS = 4  # times a set is dealt to parts at most, until few of them are empty
 
 
 LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], "u8")  # masks of the first bytes of eight
@@ -123,6 +129,50 @@ def prefix(t: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np
     return rare, np.unique(np.concatenate(keys)), len(often)
 
 
+def unlike(n, percent: int):
+    """Tokens that a set of n and a similar one that is no smaller differ in at most, both sides counted."""
+    return (100 - percent) * n // percent
+
+
+def _tops(n: int, percent: int) -> list[int]:
+    """Size classes in which a set of n may have a similar one, by their largest size; a pair's class is that of the smaller set."""
+    low = top = 1
+    while top < n:
+        before, low = top, top + 1
+        top = 100 * low // percent
+    return [x for x in ([before] if low > 1 else []) + [top] if 100 * x >= percent * n]
+
+
+def parts(t: np.ndarray, percent: int, salt: int = 0) -> list[tuple[np.ndarray, int]]:
+    """Names of the parts of a set of tokens, deal by deal, and how many of them a set shares with each similar, other one at least.
+
+    Of either set of a pair, the number of one deal that both made holds. In a class whose sets differ in d tokens at most there
+    are d and some spare parts, so at least the spare ones are equal. Empty parts have no name: a set with as many of them as
+    there are spare ones is dealt anew, and in the end has one name with all such sets of its class.
+    """
+    out = []
+    for top in _tops(len(t), percent) if percent < 100 else []:
+        differ = unlike(top, percent)
+        if not differ:
+            continue  # only equal sets are similar
+        spare = max(2, -(-differ // 4))
+        for deal in range(DEALS):
+            h = _mix(t * ODD + np.uint64(deal))
+            part = (h >> np.uint64(32)) * np.uint64(differ + spare) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            place = part[at] + np.uint64((top * DEALS + deal) << 32)
+            names = _mix(_mix(np.add.reduceat(h[order], at) ^ np.uint64(salt)) + place * ODD)
+            empty = differ + spare - len(at)
+            out.append((names, max(1, spare - empty)))
+            if empty < spare:
+                break
+        else:
+            out.append((_mix(np.array([top ^ salt], "u8") * ODD), 1))
+    return out
+
+
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose key another set has too, and sets' rows of their own, once each; the rows come sorted by key and set."""
     last = None  # the last row so far, and whether it was given out
@@ -160,26 +210,39 @@ def _edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the first one it hangs together with by links; overlaps are exact."""
     m, size = len(sets), np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m, dtype="i4"), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     fresh = np.concatenate([[True], flat[1:] != flat[:-1]])
     shared = ~fresh | np.concatenate([~fresh[1:], [False]])  # in two sets or more
-    column, owner = np.cumsum(fresh[shared]) - 1, owner[shared]
-    both = np.zeros((m, m), "f4")
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        lo, hi = np.searchsorted(column, [at, at + 4096])
-        grid = np.zeros((m, 4096), "f4")
-        grid[owner[lo:hi], column[lo:hi] - at] = 1
-        both += grid @ grid.T
-    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    label, done = np.full(m, -1), 0
+    column, owner = np.cumsum(fresh[shared], dtype="i4") - 1, owner[shared]
+    del flat, order, fresh, shared
+    many = int(column[-1]) + 1 if len(column) else 0
+    own = column[np.argsort(owner, kind="stable")]  # the columns of the first set, of the second, and so on
+    own_at = np.searchsorted(np.sort(owner), np.arange(m + 1))
+    weight = np.bincount(owner, np.bincount(column, minlength=many)[column], m)
+    label, left = np.full(m, -1), m
+    at = np.searchsorted(column, np.arange(many + 1))
     for i in range(m):
-        if label[i] < 0:
-            label[i], front = i, [i]
-            while front:
-                new = np.flatnonzero(near[front].any(axis=0) & (label < 0))
-                label[new], front = i, new.tolist()
+        if label[i] >= 0:
+            continue
+        label[i], front = i, [i]
+        while front:
+            some = min(512, max(1, int(np.searchsorted(np.cumsum(weight[front]), 1 << 20))))
+            now, front = np.array(front[:some]), front[some:]
+            if 2 * (free := int((label < 0).sum())) < left:  # rows of sets that have a label are of no use any more
+                keep, left = label[owner] < 0, free
+                column, owner = column[keep], owner[keep]
+                at = np.searchsorted(column, np.arange(many + 1))
+            mine = np.concatenate([own[own_at[x] : own_at[x + 1]] for x in now])
+            who = np.repeat(np.arange(len(now)), own_at[now + 1] - own_at[now])
+            times = at[mine + 1] - at[mine]
+            place = np.repeat(at[mine] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            both = np.bincount(np.repeat(who, times) * m + owner[place], minlength=len(now) * m).reshape(len(now), m)
+            near = 100 * both >= percent * (size[now][:, None] + size[None, :] - both)
+            new = np.flatnonzero(near.any(axis=0) & (label < 0))
+            label[new] = i
+            front += new.tolist()
     return label
 
 
@@ -205,6 +268,38 @@ def _verify(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
     yield from links()
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    return stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "key long, n int, sid long, kind int"), "live")
+
+
+def _canopies(live: DataFrame, some: DataFrame, percent: int) -> DataFrame:
+    """``sid, canopy`` of the rows of ``live`` that go on (``some``) and have a neighbour under their key."""
+    # These lists grow with the corpus, so they are merged at every size rather than sent to all tasks while they are small.
+    close = live.filter("kind < 0").join(stored(some, "some").hint("merge"), some.columns).select("key", "n", "sid")
+    near = close.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda b: _edges(b, percent), "a long, b long")
+    return components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
+
+
+def _finer(wide: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sid, canopy`` of the sets of ``wide`` (``canopy, sid, text``), parted within their canopies; those that have no similar one may be missing."""
+
+    def named(batches):
+        forget()
+        for batch in by_rows(batches):
+            rows = []
+            for canopy, sid, text in zip(*(c.to_pylist() for c in batch.columns)):
+                t = tokens(text, words)
+                if set_id(t) == sid:
+                    rows += [(names, len(t), sid, -least) for names, least in parts(t, percent, canopy & (1 << 64) - 1)]
+            if rows:
+                names, n, sid, kind = zip(*rows)
+                many = [len(x) for x in names]
+                yield batch_of(KEYS, np.concatenate(names).view("i8"), np.repeat(np.array(n, "i4"), many), np.repeat(np.array(sid, "i8"), many), np.repeat(np.array(kind, "i4"), many))
+
+    live = _shared(wide.select("canopy", "sid", "text").mapInArrow(named, "key long, n int, sid long, kind int"))
+    return _canopies(live, live.groupBy("sid", "kind").agg(F.count("*").alias("times")).filter("times >= -kind").select("sid", "kind"), percent)
+
+
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0.001, block_docs: int = 1024, block_tokens: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
     """What ``join`` and ``one_of_each`` build on: ``doc, h, n, sid`` of every row (``h``: a hash of the text), and ``sid, n,
     component_id, doc, first, text`` of every token set that has a partner, where ``doc, first, text`` are the id, the set and the text's
@@ -252,27 +347,32 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
                 )
 
     keys = rows.mapInArrow(keyed, "key long, n int, sid long, kind int")
-    live = stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_live, "key long, n int, sid long, kind int"), "live")
+    live = _shared(keys)
     # A set that has a similar one shares enough of its prefix; most sets do not, and go.
     shared = F.count_if(F.col("kind") == RARE) + F.max(F.when(F.col("kind") >= 0, F.col("kind")))
     partner = F.ceil(F.lit(percent) * F.col("n") / 100)
     lack = F.floor((100 - percent) * partner / 100)
     need = F.least(partner - lack, F.floor(lack / 2) + 2)
     some = live.groupBy("sid", "n").agg(shared.alias("shared")).filter(F.col("shared") >= need).select("sid", "n")
-    # These lists grow with the corpus, so they are merged at every size rather than sent to all tasks while they are small.
-    close = live.filter("kind < 0").join(stored(some, "some").hint("merge"), ["sid", "n"]).select("key", "n", "sid")
-    near = close.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lambda b: _edges(b, percent), "a long, b long")
-    canopies = components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
+    canopies = _canopies(live, some, percent)
 
-    # One document of each token set stands for it.
+    # One document of each token set stands for it. Sets of canopies of many documents get finer canopies before they meet.
     first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc", "h")).alias("own"), F.min(F.when(F.col("doc") > NO_ID, F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")).select("sid", "n", "own.*", "doc_id", "copies"), "first")
     member = stored(canopies.join(first, "sid"), "members")
-    blocks = member.groupBy("canopy").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens)).alias("blocks"))
+    many, whole = F.count("*"), F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens))
+    sizes = member.groupBy("canopy").agg(((whole > 1) | (many > block_docs / 16)).alias("wide"))
+    texts = hashed.join(member.join(sizes, "canopy").select("doc", "h", "sid", "canopy", "wide").hint("merge"), ["doc", "h"])
+    texts = stored(texts.select("canopy", "wide", "sid", "text"), "texts")
+    wide = texts.filter("wide").select("canopy", "sid", "text")
+    finer = stored(_finer(wide, words, percent).join(member.select("sid", "n"), "sid"), "finer")
+    blocks = finer.groupBy("canopy").agg(whole.alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = member.join(blocks, "canopy").withColumn("_own", own).withColumn("_other", other)
-    dealt = dealt.select("doc", "h", "sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
-    met = hashed.join(dealt.hint("merge"), ["doc", "h"]).select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
+    dealt = finer.join(blocks, "canopy").withColumn("_own", own).withColumn("_other", other)
+    dealt = dealt.select("sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
+    met = wide.select("sid", "text").join(dealt.hint("merge"), "sid").select("canopy", "pair", "sid", "text")
+    met = met.unionByName(texts.filter("NOT wide").select("canopy", F.lit(0).cast("long").alias("pair"), "sid", "text"))
+    met = met.repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
     links = components(met.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"))
 
     found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
@@ -288,7 +388,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFr
     links lead to, the own one included. A null or wordless text has no token and no link. Rows with one id are documents of
     their own; null ids take part but name a component only where there is no other. ``often``: a token of about this share of the
     documents (and of 64) is of the frequent class. The class holds at most twice the mean number of tokens over ``often``,
-    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once.
+    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once;
+    canopies of over a sixteenth of ``block_docs`` are parted again before.
     """
     told, found = classes(docs, words, percent, **limits)
     doc_id = F.when(F.col("doc") > NO_ID, F.col("doc"))

@@ -152,6 +152,68 @@ def test_similar_sets_share_a_key_whatever_is_frequent():
                     assert len(np.intersect1d(r1, r2)) + f >= ngramjoin.least_shared(-(-85 * len(s) // 100), 85)
 
 
+def test_similar_sets_share_parts():
+    """As many as both of them need to stay, whatever their sizes; sets that differ more share next to none."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 1 << 62, n, dtype="u8")
+    pairs = 0
+    for percent in (50, 80, 85, 99):
+        for n in [*range(1, 60), 200, 1000, 4000]:
+            for _ in range(4):
+                x = np.unique(draw(n))
+                y = np.unique(np.concatenate([rng.permutation(x)[: n - rng.integers(0, n * (100 - percent) // 100 + 1)], draw(rng.integers(0, n * (100 - percent) // 100 + 1))]))
+                both = len(np.intersect1d(x, y))
+                if not 100 * both >= percent * (len(x) + len(y) - both) or np.array_equal(x, y):
+                    continue
+                found = [ngramjoin.parts(s, percent, 7) for s in (x, y)]
+                for own, other in (found, found[::-1]):
+                    names = np.concatenate([k for k, _ in other])
+                    assert any(len(np.intersect1d(k, names)) >= least for k, least in own)
+                pairs += 1
+    assert pairs > 400
+    x, often = draw(2000), draw(500)
+    (k, least), *_ = ngramjoin.parts(np.unique(np.concatenate([x[:1500], often])), 85)
+    other = np.concatenate([k for k, _ in ngramjoin.parts(np.unique(np.concatenate([x[1500:], often, draw(1000)])), 85)])
+    assert len(np.intersect1d(k, other)) < least / 4
+
+
+def test_linked_like_a_search_over_all_pairs():
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        pool = rng.integers(0, 1 << 62, rng.integers(5, 60), dtype="u8")
+        sets = [np.unique(rng.choice(pool, rng.integers(1, len(pool) + 1))) for _ in range(rng.integers(1, 40))]
+        sets += [np.unique(np.concatenate([s[1:], rng.integers(0, 1 << 62, 1, dtype="u8")])) for s in sets[:10]]
+        for percent in (50, 85):
+            both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+            size = np.diag(both)
+            near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            want = np.arange(len(sets))
+            while (new := np.where(near, want, len(sets)).min(axis=1)).tolist() != want.tolist():
+                want = new
+            assert ngramjoin.linked(sets, percent).tolist() == want.tolist()
+
+
+def test_texts_that_chance_links_are_not_verified(spark, monkeypatch):
+    """Each text has half of the next one's sequences, so all have a canopy in common; only the near copies in it meet."""
+    say = lambda i: " ".join(f"a{i}x{j}" for j in range(60)) + " " + " ".join(f"a{i + 1}x{j}" for j in range(60))
+    rows = [(i, say(i)) for i in range(100)] + [(200 + i, say(i) + " end") for i in (3, 50)] + [(300, "start " + say(50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met, verify = spark.sparkContext.accumulator(0), ngramjoin._verify
+
+    def verified(batches, words, percent):
+        for b in batches:
+            met.add(b.num_rows)
+            yield from verify(iter([b]), words, percent)
+
+    monkeypatch.setattr(ngramjoin, "_verify", verified)
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.join(docs).collect()}
+    assert got == {i: i for i in range(100)} | {203: 3, 250: 50, 300: 50}
+    assert 5 <= met.value <= 20
+    met.value = 0
+    assert sorted(r["doc_id"] for r in ngramjoin.one_of_each(docs, 5, 80).collect()) == list(range(100))
+    assert 5 <= met.value <= 20
+
+
 def test_live_rows_over_batch_borders():
     rows = [(1, 3, 7, -1), (1, 3, 7, -1), (1, 3, 8, -1), (2, 3, 7, -1), (3, 3, 5, -1), (3, 3, 6, -1), (3, 3, 9, -1), (4, 3, 1, 0), (5, 3, 1, -2), (6, 3, 2, -1), (6, 3, 2, -1)]
     want = sorted(set(rows) - {(2, 3, 7, -1), (5, 3, 1, -2), (6, 3, 2, -1)})
