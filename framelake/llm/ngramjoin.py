@@ -11,8 +11,8 @@ The extension also tells who has no partner: a document of whose prefix too few
 
 Documents that share a key stand in one canopy. Neighbours by size within a key are linked, never all pairs: a canopy is
 a connected component of these links, and two documents of different canopies cannot be similar. One token by chance is
-enough for a link, so canopies grow together as a corpus grows. Those of many documents are therefore parted again, by keys that
-chance does not share: a set's tokens are dealt to somewhat more parts, by hash, than two similar sets differ in tokens, so they
+enough for a link, so canopies grow together as a corpus grows. They are therefore parted again, by keys that chance does not
+share: a set's tokens are dealt to somewhat more parts, by hash, than two similar sets differ in tokens, so they
 have some parts in common as a whole. A document without enough such parts goes; neighbours by size within a part are linked.
 
 Within a canopy all overlaps are counted exactly. Canopies too large for a task are cut into blocks, and every two blocks meet in
@@ -280,8 +280,8 @@ def _canopies(live: DataFrame, some: DataFrame, percent: int) -> DataFrame:
     return components(near).select(F.col("node").alias("sid"), F.col("root").alias("canopy"))
 
 
-def _finer(wide: DataFrame, words: int, percent: int) -> DataFrame:
-    """``sid, canopy`` of the sets of ``wide`` (``canopy, sid, text``), parted within their canopies; those that have no similar one may be missing."""
+def _finer(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sid, canopy`` of the sets of ``texts`` (``canopy, sid, text``), parted within their canopies; those that have no similar one may be missing."""
 
     def named(batches):
         forget()
@@ -296,7 +296,7 @@ def _finer(wide: DataFrame, words: int, percent: int) -> DataFrame:
                 many = [len(x) for x in names]
                 yield batch_of(KEYS, np.concatenate(names).view("i8"), np.repeat(np.array(n, "i4"), many), np.repeat(np.array(sid, "i8"), many), np.repeat(np.array(kind, "i4"), many))
 
-    live = _shared(wide.select("canopy", "sid", "text").mapInArrow(named, "key long, n int, sid long, kind int"))
+    live = _shared(texts.mapInArrow(named, "key long, n int, sid long, kind int"))
     return _canopies(live, live.groupBy("sid", "kind").agg(F.count("*").alias("times")).filter("times >= -kind").select("sid", "kind"), percent)
 
 
@@ -356,23 +356,17 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, often: float = 0
     some = live.groupBy("sid", "n").agg(shared.alias("shared")).filter(F.col("shared") >= need).select("sid", "n")
     canopies = _canopies(live, some, percent)
 
-    # One document of each token set stands for it. Sets of canopies of many documents get finer canopies before they meet.
+    # One document of each token set stands for it. The sets of a canopy get finer ones before they meet.
     first = stored(told.filter("n > 0").groupBy("sid", "n").agg(F.min(F.struct("doc", "h")).alias("own"), F.min(F.when(F.col("doc") > NO_ID, F.col("doc"))).alias("doc_id"), F.count("*").alias("copies")).select("sid", "n", "own.*", "doc_id", "copies"), "first")
     member = stored(canopies.join(first, "sid"), "members")
-    many, whole = F.count("*"), F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens))
-    sizes = member.groupBy("canopy").agg(((whole > 1) | (many > block_docs / 16)).alias("wide"))
-    texts = hashed.join(member.join(sizes, "canopy").select("doc", "h", "sid", "canopy", "wide").hint("merge"), ["doc", "h"])
-    texts = stored(texts.select("canopy", "wide", "sid", "text"), "texts")
-    wide = texts.filter("wide").select("canopy", "sid", "text")
-    finer = stored(_finer(wide, words, percent).join(member.select("sid", "n"), "sid"), "finer")
-    blocks = finer.groupBy("canopy").agg(whole.alias("blocks"))
+    texts = stored(hashed.join(member.select("doc", "h", "sid", "canopy").hint("merge"), ["doc", "h"]).select("canopy", "sid", "text"), "texts")
+    finer = stored(_finer(texts, words, percent).join(member.select("sid", "n"), "sid"), "finer")
+    blocks = finer.groupBy("canopy").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens)).alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = finer.join(blocks, "canopy").withColumn("_own", own).withColumn("_other", other)
     dealt = dealt.select("sid", "canopy", (F.least("_own", "_other") * F.col("blocks") + F.greatest("_own", "_other")).alias("pair"))
-    met = wide.select("sid", "text").join(dealt.hint("merge"), "sid").select("canopy", "pair", "sid", "text")
-    met = met.unionByName(texts.filter("NOT wide").select("canopy", F.lit(0).cast("long").alias("pair"), "sid", "text"))
-    met = met.repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
+    met = texts.select("sid", "text").join(dealt.hint("merge"), "sid").select("canopy", "pair", "sid", "text").repartition("canopy", "pair").sortWithinPartitions("canopy", "pair")
     links = components(met.mapInArrow(lambda b: _verify(b, words, percent), "a long, b long"))
 
     found = first.join(links.select(F.col("node").alias("sid"), "root"), "sid", "left").filter("copies > 1 OR root IS NOT NULL")
@@ -388,8 +382,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, **limits) -> DataFr
     links lead to, the own one included. A null or wordless text has no token and no link. Rows with one id are documents of
     their own; null ids take part but name a component only where there is no other. ``often``: a token of about this share of the
     documents (and of 64) is of the frequent class. The class holds at most twice the mean number of tokens over ``often``,
-    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once;
-    canopies of over a sixteenth of ``block_docs`` are parted again before.
+    whatever the corpus, and goes to every task. ``block_docs``, ``block_tokens``: about the most a task verifies at once.
     """
     told, found = classes(docs, words, percent, **limits)
     doc_id = F.when(F.col("doc") > NO_ID, F.col("doc"))
